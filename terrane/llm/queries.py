@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, langid, line_dedup, pii
+from terrane.llm import bpe, langid, line_dedup, pii, quality
 from terrane.llm.text import bucket_of
 
 
@@ -19,6 +19,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    model = quality.train(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality"))
+    return quality.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = bucket_of(F.col("doc_id"), 5) == 0
@@ -38,5 +45,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op6_language_id, op7_pii, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_quality, op6_language_id, op7_pii, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}

@@ -47,22 +47,26 @@ def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * down[starts]), starts, ends
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, in order; none for null.
-
-    A text is hashed a megabyte at a time, cut at spaces, so that very long ones need little memory.
-    """
-    data = (text or "").encode("utf-8", "replace").lower()
-    if len(data) <= _STEP:
-        return _hash_block(data)[0]
-    out, at = [], 0
+def word_blocks(data: bytes) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """A text's bytes a megabyte at a time, cut at spaces, each block with its words' hashes, starts and ends."""
+    at = 0
     while at < len(data):
-        to = len(data) if at + _STEP >= len(data) else max(data.rfind(b" ", at, at + _STEP), data.rfind(b"\n", at, at + _STEP))
-        if to <= at:
-            to = min((x for x in (data.find(b" ", at + _STEP), data.find(b"\n", at + _STEP)) if x >= 0), default=len(data))
-        out.append(_hash_block(data[at:to])[0])
-        at = to + (to < len(data))
-    return np.concatenate(out)
+        to = len(data)
+        if at + _STEP < to:
+            end = at + _STEP
+            cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+            if cut <= at:  # one long word
+                cut = min((x for x in (data.find(b" ", end), data.find(b"\n", end)) if x >= 0), default=to)
+            to = cut
+        block = data[at:to]
+        yield block, *_hash_block(block)
+        at = to
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, in order; none for null."""
+    found = [h for _, h, _, _ in word_blocks((text or "").encode("utf-8", "replace").lower())]
+    return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.uint64), *found])
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
