@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, langid, line_dedup, ngram_join, pii, quality
+from terrane.llm import bpe, katz, langid, line_dedup, ngram_join, pii, quality
 from terrane.llm.text import bucket_of
 
 
@@ -18,6 +18,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op2_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), bucket_of(F.col("doc_id"), 7) != 2)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -49,5 +53,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_line_dedup, op5_quality, op6_language_id, op7_pii, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_katz_score, op4_line_dedup, op5_quality, op6_language_id, op7_pii, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
