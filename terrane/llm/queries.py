@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, decontam, katz, langid, line_dedup, ngram_join, pii, quality
+from terrane.llm import bm25, bpe, decontam, katz, langid, line_dedup, ngram_join, pii, quality
 from terrane.llm.text import bucket_of
 
 
@@ -53,10 +53,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 100, among all."""
+    return bm25.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 100 == 0, k=10)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", "item_ids", "best_share")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_katz_score, op4_line_dedup, op5_quality, op6_language_id, op7_pii, op8_byte_bpe, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_katz_score, op4_line_dedup, op5_quality, op6_language_id, op7_pii, op8_byte_bpe, op9_bm25_search, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op9_bm25_search": bm25.ORACLE}
