@@ -9,9 +9,12 @@ nothing else, so that it is worked out once and remembered. A position that was
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from collections.abc import Callable, Iterator
-from itertools import islice
+import re
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -20,11 +23,15 @@ from pyspark.sql import DataFrame
 
 from terrane.llm.text import batch_of, map_batches
 
-#: Remembered pre-tokens and token pairs of one worker; a full memory starts anew.
-REMEMBERED = 400_000
+#: Remembered pre-tokens of one worker; a full memory becomes the older one and a new one starts. Token pairs: three times as many.
+REMEMBERED = 300_000
 _LONG = 1 << 20
 
 
+#: Of a pre-token: its ids, the same as text, and the bytes that they decode to.
+Entry = tuple[tuple[int, ...], str, bytes]
+
+
 class ByteBpe:
     """Encoder and decoder for a vocabulary of ranks (bytes to id)."""
 
@@ -32,51 +39,81 @@ class ByteBpe:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pieces = regex.compile(pattern)
+        # ASCII texts need no Unicode classes, and the standard library's matcher is faster on them.
+        self.ascii_pieces = re.compile(pattern.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        made = {b: i for b, i in ranks.items() if len(b) == 1 or self.merged(b) == [b]}  # others never come out of merging
+        self.joined: dict[bytes, tuple[bytes, bytes]] = {}
+        self.spines: dict[int, list[tuple[bytes, int]]] = {}
+        made = {b: i for b, i in ranks.items() if len(b) == 1}
+        for b, i in ranks.items():
+            if len(b) > 1:
+                parts, last = self.merged(b)
+                if parts == [b]:  # others never come out of merging
+                    made[b], self.joined[b] = i, last
         for b, i in made.items():
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.length = {i: len(b) for b, i in ranks.items()}
         self.shorter = {i: next((made[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in made), -1) for b, i in made.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, Entry] = {}
+        self.older: dict[str, Entry] = {}
         self.fits: dict[int, bool] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging, lowest rank first, leftmost among equals; for single tokens and pairs of them."""
-        parts, rank = [data[i : i + 1] for i in range(len(data))], self.ranks.get
+    def merged(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+        """Plain merging, lowest rank first, leftmost among equals, and the last two parts that it joined; for single tokens."""
+        parts, rank, last = [data[i : i + 1] for i in range(len(data))], self.ranks.get, None
         while len(parts) > 1:
-            best, at = min((r, i) for i in range(len(parts) - 1) if (r := rank(parts[i] + parts[i + 1], 1 << 40)) is not None)
+            best, at = min((rank(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
             if best == 1 << 40:
                 break
+            last = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, last
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """The parts that stand in turn at a token's left (0) or right (1) edge while it is merged, each with the rank that ends it."""
+        if (known := self.spines.get(token << 1 | side)) is None:
+            part, until, known = self.bytes_of[token], 1 << 40, []
+            while True:
+                known.append((part, until))
+                if len(part) == 1:
+                    break
+                until, part = self.ranks[part], self.joined[part][side]
+            self.spines[token << 1 | side] = known
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of both tokens gives these two tokens again."""
-        x, y = self.bytes_of[a], self.bytes_of[b]
-        return self.merged(x + y) == [x, y]
+        """Whether merging the bytes of both tokens gives these two tokens again.
+
+        It doesn't if some part at the right edge of the first and some part at the left edge of the second, both there at the time,
+        would join before either is used up; of equal ranks the leftmost goes first.
+        """
+        rank, left = self.ranks.get, self.spine(b, 0)
+        for x, until_x in self.spine(a, 1):
+            for y, until_y in left:
+                if (m := rank(x + y)) is not None and m < until_x and m <= until_y:
+                    return False
+        return True
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        length, shorter, fits, n = self.length, self.shorter, self.fits, len(data)
-        longest = [-1] * n  # token by first byte; matches come by their ends, so that the longest is the last
-        for end, i in self.automaton.iter(data.decode("latin-1")):
-            longest[end + 1 - length[i]] = i
+        length, shorter, fits, matches, n = self.length, self.shorter, self.fits, self.automaton.iter_long, len(data)
+        latin = data.decode("latin-1")
         tokens: list[int] = []
-        left = bytearray(n + 1)  # ends from which no way led on
-        at, option, before = 0, longest[0], -1
+        left = None  # ends from which no way led on
+        at, before = 0, -1
+        option = next(matches(latin))[1]
         while True:
             while option >= 0:
                 to = at + length[option]
-                if not left[to]:
+                if left is None or not left[to]:
                     if before < 0:
                         break
                     pair = before << 32 | option
                     if (fit := fits.get(pair)) is None:
-                        if len(fits) >= 4 * REMEMBERED:
+                        if len(fits) >= 3 * REMEMBERED:
                             fits.clear()
                         fit = fits[pair] = self.compatible(before, option)
                     if fit:
@@ -86,31 +123,41 @@ class ByteBpe:
                 tokens.append(option)
                 if to == n:
                     return tuple(tokens)
-                at, before, option = to, option, longest[to]
+                at, before, option = to, option, next(matches(latin, to))[1]
             else:
+                left = left or bytearray(n + 1)
                 left[at] = 1
                 last = tokens.pop()
                 at -= length[last]
                 before, option = tokens[-1] if tokens else -1, shorter[last]
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids in runs; a very long text isn't split into all its pre-tokens at once."""
-        known = self.known
-        runs = iter([self.pieces.findall(text)]) if len(text) < _LONG else iter(lambda m=(x.group() for x in self.pieces.finditer(text)): list(islice(m, 1 << 16)), [])
+    def entries(self, text: str) -> Iterator[list[Entry]]:
+        """What is known of each pre-token, in runs; a very long text isn't split into all its pre-tokens at once."""
+        pattern = self.ascii_pieces if text.isascii() else self.pieces
+        runs = iter([pattern.findall(text)]) if len(text) < _LONG else iter(lambda m=(x.group() for x in pattern.finditer(text)): list(islice(m, 1 << 16)), [])
         for pieces in runs:
-            ids: list[int] = []
-            for piece in pieces:
-                found = known.get(piece)
-                if found is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    found = self.encode_piece(piece)
+            known = self.known
+            found = list(map(known.get, pieces))
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                piece = pieces[at]
+                if (entry := known.get(piece)) is None:
+                    if (entry := self.older.get(piece)) is None:
+                        ids = self.encode_piece(piece)
+                        entry = (ids, " ".join(map(str, ids)), self.decode(ids))
                     if len(piece) < 256:
-                        known[piece] = found
-                ids += found
-            yield ids
+                        if len(known) >= REMEMBERED:
+                            self.older = known
+                            known = self.known = {}
+                        known[piece] = entry
+                found[at] = entry
+            yield found
+
+    def encode(self, text: str) -> list[int]:
+        return [i for found in self.entries(text) for entry in found for i in entry[0]]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -128,28 +175,29 @@ _SQL = {"n_tokens": "long", "token_ids": "array<int>", "decoded": "binary", "ids
 def _kernel(vocabulary, pattern: str, schema: pa.Schema, outputs: list[str]) -> Callable:
     def make():
         global _encoder
+        gc.disable()  # the memories hold no cycles, and are large to walk
         if _encoder is None or _encoder[0] != (vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern):
             key = (vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern)
             _encoder = (key, ByteBpe(vocabulary.value if hasattr(vocabulary, "value") else vocabulary, pattern))
         bpe = _encoder[1]
-        digits = {i: str(i) for i in bpe.bytes_of}
+        ids_of, text_of, bytes_of = itemgetter(0), itemgetter(1), itemgetter(2)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: dict[str, list] = {k: [] for k in outputs}
             for cell in batch.column(batch.num_columns - 1):
                 n, all_ids, data = 0, [], []
                 ids_hash, data_hash = hashlib.sha256(), hashlib.sha256()
-                for ids in bpe.encode(cell.as_py() or ""):
-                    if "ids_sha256" in rows and ids:
-                        ids_hash.update(((" " if n else "") + " ".join(map(digits.__getitem__, ids))).encode())
-                    n += len(ids)
+                for found in bpe.entries(cell.as_py() or ""):
+                    if "ids_sha256" in rows and found:
+                        ids_hash.update(((" " if n else "") + " ".join(map(text_of, found))).encode())
+                    n += sum(map(len, map(ids_of, found)))
                     if "decoded_sha256" in rows or "decoded" in rows:
-                        back = bpe.decode(ids)
+                        back = b"".join(map(bytes_of, found))
                         data_hash.update(back)
                         if "decoded" in rows:
                             data.append(back)
                     if "token_ids" in rows:
-                        all_ids += ids
+                        all_ids += chain.from_iterable(map(ids_of, found))
                 for k, v in (("n_tokens", n), ("token_ids", all_ids), ("decoded", b"".join(data)), ("ids_sha256", ids_hash.hexdigest()), ("decoded_sha256", data_hash.hexdigest())):
                     if k in rows:
                         rows[k].append(v)
