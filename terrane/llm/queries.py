@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bm25, bpe, decontam, katz, langid, line_dedup, ngram_join, pii, quality
+from terrane.llm import bm25, bpe, decontam, katz, langid, line_dedup, ngram_join, pii, quality, suffix_dedup
 from terrane.llm.text import bucket_of
 
 
@@ -22,6 +22,10 @@ def op2_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), bucket_of(F.col("doc_id"), 7) != 2)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -63,5 +67,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "item_ids", "best_share")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_katz_score, op4_line_dedup, op5_quality, op6_language_id, op7_pii, op8_byte_bpe, op9_bm25_search, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_katz_score, op3_suffix_dedup, op4_line_dedup, op5_quality, op6_language_id, op7_pii, op8_byte_bpe, op9_bm25_search, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op9_bm25_search": bm25.ORACLE}
