@@ -1,4 +1,74 @@
-"""The document pipeline; stages follow as their operators do."""
+"""A pipeline from raw documents to token ids: five stages, each written as Parquet and read again by the next.
 
-STAGES: list = []
+language_id   documents without a language (no letter, or no text) go
+line_dedup    lines that recur across documents are cut out, and documents of which nothing is left go
+near_copies   of documents that five-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays
+decontaminate documents that hold benchmark items, verbatim or paraphrased, go
+tokenize      byte-level BPE ids, and digests of the ids and of what they decode to
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.llm import bpe, decontam, langid, line_dedup, ngram_join
+from terrane.llm.store import Scratch
+
+
+def _apart(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs an operator that adds columns; columns of ``docs`` that have these names are set apart meanwhile."""
+    held = {c: f"_held_{c}" for c in docs.columns if c in names}
+    out = work(docs.withColumnsRenamed(held))
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs)
+    return _apart(docs, ("lang_pred", "score"), lambda d: langid.predict(d, model).where(F.col("lang_pred") != langid.UNKNOWN))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the text."""
+    out = _apart(docs, ("n_lines", "n_dropped"), lambda d: line_dedup.drop_lines(d).where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "\\s+", "")) != "")))
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a null id link with nothing and stay."""
+    groups = ngram_join.join(docs, size=5, percent=80)
+    others = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _apart(docs, ("contaminated", "item_ids", "best_share"), lambda d: decontam.find(d, benchmark).where(~F.col("contaminated")))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("near_copies", near_copies),
+    ("decontaminate", decontaminate),
+    ("tokenize", tokenize),
+]
+
+#: SQL can express neither the kernels of the first stage nor the merges of the last.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs
