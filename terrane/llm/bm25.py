@@ -1,10 +1,11 @@
 """Exact top-k search by BM25 over a sharded inverted index with block-max pruning.
 
-Each shard of documents has its own inverted index, with postings in blocks of documents and the largest term weight of each block. A
-query is the set of distinct words of a text. Block-max WAND skips documents whose terms' block maxima can't add up to the k-th best
-score so far; here the sum is taken for whole blocks at once, the most promising blocks are scored first, and the rest only where their
-bound still reaches the threshold. Document frequencies and the mean length are those of all shards, so that the shards' best k merge
-into the exact answer. Queries go through the index in blocks of bounded size, whatever their number.
+Each shard of documents has its own inverted index. A query is the set of distinct words of a text. Block-max WAND skips documents whose
+terms' block maxima can't add up to the k-th best score so far. Here queries and documents are taken in blocks, and the test is made for
+a block of documents and all queries at once. Rare terms are scored exactly from their postings. What the many postings of frequent terms
+could add is bounded by the largest weights of the block; only for queries whose bound reaches their threshold is it worked out, as one
+matrix product. Document frequencies and the mean length are those of all shards, so that the shards' best k merge into the exact answer.
+Queries go through the index in turns of bounded size, whatever their number.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ from terrane.llm.store import Scratch
 from terrane.llm.text import batch_of, map_batches, word_hashes
 
 K1, B = 1.2, 0.75
-#: Words of a shard, documents of a block, and distinct terms of all queries that go through the index at once (24 MB).
-SHARD_WORDS, BLOCK_DOCS, QUERY_TERMS = 6_000_000, 64, 2_000_000
+#: Words and documents of a shard, documents and queries of a block, and query terms that go through the index in a turn (24 MB).
+SHARD_WORDS, SHARD_DOCS, BLOCK_DOCS, BLOCK_QUERIES, QUERY_TERMS = 6_000_000, 16384, 256, 2048, 2_000_000
+#: A term is frequent in a shard from this share of its documents on; there are few such terms, as a document has few words.
+FREQUENT = 1 / 24
+#: Cells of a shard's matrix of frequent terms (32 MB), and pairs of a posting and a query that are worked out at once.
+MATRIX_CELLS, PAIRS = 4_000_000, 8_000_000
 #: Scores count as equal, and go by id, when they agree in this many decimals.
 DECIMALS = 6
-_FIRST_BLOCKS, _SLICE = 12, 256
+_SLICE = 256
 
 
 def shards(docs: DataFrame, shard_words: int) -> DataFrame:
@@ -38,6 +43,9 @@ def shards(docs: DataFrame, shard_words: int) -> DataFrame:
         part = task.partitionId() if task else 0
 
         def flush():
+            by_id = sorted(range(len(ids)), key=ids.__getitem__)
+            for x in (ids, lengths, terms, counts):
+                x[:] = [x[i] for i in by_id]
             all_terms = np.concatenate(terms)
             owner = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(t) for t in terms])
             order = np.argsort(all_terms, kind="stable")
@@ -55,7 +63,7 @@ def shards(docs: DataFrame, shard_words: int) -> DataFrame:
                 terms.append(t)
                 counts.append(c)
                 size += len(h)
-                if size >= shard_words:
+                if size >= shard_words or len(ids) >= SHARD_DOCS:
                     yield flush()
                     ids, lengths, terms, counts, made, size = [], [], [], [], made + 1, 0
         if ids:
@@ -64,64 +72,107 @@ def shards(docs: DataFrame, shard_words: int) -> DataFrame:
     return docs.mapInArrow(run, "shard long, " + ", ".join(f"{k} binary" for k in columns) + ", n long, words long, postings long")
 
 
+class Plan:
+    """The queries of a turn: ids, distinct terms with their inverse document frequency, and the queries of each term."""
+
+    def __init__(self, asked: list[tuple[int, np.ndarray]]):
+        self.ids = np.array([q for q, _ in asked], np.int64)
+        self.terms, of = np.unique(np.concatenate([t for _, t in asked]), return_inverse=True)
+        query = np.repeat(np.arange(len(asked), dtype=np.int32), [len(t) for _, t in asked])
+        order = np.argsort(of, kind="stable")
+        self.queries = query[order]
+        self.start = np.searchsorted(of[order], np.arange(len(self.terms) + 1))
+        self.idf = np.zeros(len(self.terms))
+
+
+class Top:
+    """The k best documents of each query so far, by score and then by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.n = k, queries
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.zeros(queries)  # the k-th score, 0 while there are fewer
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        query, ids, scores = np.concatenate([self.query, query]), np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+        order = np.lexsort((ids, -scores, query))
+        query = query[order]
+        first = np.searchsorted(query, np.arange(self.n))
+        rank = np.arange(len(query)) - first[query]
+        keep = rank < self.k
+        self.query, self.ids, self.scores = query[keep], ids[order][keep], scores[order][keep]
+        full = rank == self.k - 1
+        self.least[query[full]] = scores[order][full]
+
+
+def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of ranges that begin at ``start`` and have ``n`` each."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+
+
 class Shard:
-    def __init__(self, row: dict, mean_length: float):
+    """The postings of a turn's terms in one shard, rare ones by document, frequent ones as a matrix with the maxima of each block."""
+
+    def __init__(self, row: dict, mean_length: float, plan: Plan):
         self.ids = unpack(row["ids"])
-        self.vocab = unpack_sorted(row["vocab"])
-        doc = unpack(row["docs"]).astype(np.int64)
-        self.start = np.append(unpack_sorted(row["starts"]).astype(np.int64), len(doc))
-        count = unpack(row["counts"]).astype(np.float64)
+        vocab, start = unpack_sorted(row["vocab"]), np.append(unpack_sorted(row["starts"]).astype(np.int64), row["postings"])
         norm = K1 * (1 - B + B * unpack(row["lengths"]).astype(np.float64) / max(mean_length, 1e-9))
-        self.weight = count * (K1 + 1) / (count + norm[doc])
-        self.doc = doc
-        block = doc // BLOCK_DOCS
-        new = np.diff(block, prepend=-1) != 0
-        new[self.start[:-1]] = True
-        self.run_start = np.flatnonzero(new)
-        self.run_block = block[self.run_start]
-        self.run_most = np.maximum.reduceat(self.weight, self.run_start) if len(doc) else np.zeros(0)
-        self.run_end = np.append(self.run_start[1:], len(doc))
-        self.runs_of = np.searchsorted(self.run_start, self.start)  # of each term
-        self.blocks = -(-len(self.ids) // BLOCK_DOCS)
-
-    def search(self, at: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and rounded scores of the best k documents for terms (places in the vocabulary) that may still reach ``least``."""
-        n = self.runs_of[at + 1] - self.runs_of[at]
-        runs = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.runs_of[at], n)
-        term = np.repeat(np.arange(len(at)), n)
-        block = self.run_block[runs]
-        bound = np.bincount(block, weights=self.run_most[runs] * idf[term], minlength=self.blocks)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        slack = 10.0**-DECIMALS
-        todo = bound > 0
-        if todo.sum() > 2 * _FIRST_BLOCKS:
-            first = np.zeros(self.blocks, bool)
-            first[np.argpartition(-bound, _FIRST_BLOCKS)[:_FIRST_BLOCKS]] = True
-            rounds = [first & todo, todo & ~first]
-        else:
-            rounds = [todo]
-        for chosen in rounds:
-            chosen = chosen & (bound >= least - slack)
-            if not chosen.any():
-                continue
-            pick = chosen[block]
-            begin, size = self.run_start[runs[pick]], self.run_end[runs[pick]] - self.run_start[runs[pick]]
-            post = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-            score = np.bincount(self.doc[post], weights=self.weight[post] * np.repeat(idf[term[pick]], size), minlength=len(self.ids))
-            found = np.flatnonzero(score > max(0.0, least - slack))
-            ids, scores = best(np.concatenate([ids, self.ids[found]]), np.concatenate([scores, np.round(score[found], DECIMALS)]), k)
-            if len(ids) == k:
-                least = max(least, float(scores[-1]))
-        return ids, scores
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by score, then by id."""
-    if len(ids) > 4 * k:
-        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-        ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+        place = np.minimum(np.searchsorted(vocab, plan.terms), max(0, len(vocab) - 1))
+        terms = np.flatnonzero(vocab[place] == plan.terms) if len(vocab) else np.zeros(0, np.int64)
+        at = place[terms]
+        n = start[at + 1] - start[at]
+        post = _expand(start[at], n)
+        doc, count = unpack(row["docs"])[post].astype(np.int64), unpack(row["counts"])[post].astype(np.float64)
+        weight = count * (K1 + 1) / (count + norm[doc]) * np.repeat(plan.idf[terms], n)
+        most = max(1, MATRIX_CELLS // max(1, len(self.ids)))
+        often = n > max(8, FREQUENT * len(self.ids), np.sort(n)[-most - 1] if len(n) > most else 0)
+        self.frequent = terms[often]
+        self.matrix = np.zeros((len(self.ids), len(self.frequent)))
+        column = np.repeat(np.where(often, np.cumsum(often) - 1, -1), n)
+        dense = column >= 0
+        self.matrix[doc[dense], column[dense]] = weight[dense]
+        rare = ~dense
+        order = np.argsort(doc[rare], kind="stable")
+        self.doc, self.term, self.weight = doc[rare][order], np.repeat(terms, n)[rare][order], weight[rare][order]
+        self.blocks = range(0, len(self.ids), BLOCK_DOCS)
+        self.most = np.array([self.matrix[i : i + BLOCK_DOCS].max(axis=0) for i in self.blocks]).reshape(len(self.blocks), len(self.frequent))
+
+    def search(self, plan: Plan, top: Top) -> None:
+        for q0 in range(0, len(plan.ids), BLOCK_QUERIES):
+            q1 = min(q0 + BLOCK_QUERIES, len(plan.ids))
+            asks = np.zeros((len(self.frequent), q1 - q0))
+            n = plan.start[self.frequent + 1] - plan.start[self.frequent]
+            query = plan.queries[_expand(plan.start[self.frequent], n)]
+            here = (query >= q0) & (query < q1)
+            asks[np.repeat(np.arange(len(self.frequent)), n)[here], query[here] - q0] = 1
+            could = self.most @ asks
+            for block, d0 in enumerate(self.blocks):
+                self._score(plan, top, q0, q1, asks, could[block], d0, min(d0 + BLOCK_DOCS, len(self.ids)))
+
+    def _score(self, plan: Plan, top: Top, q0: int, q1: int, asks: np.ndarray, could: np.ndarray, d0: int, d1: int) -> None:
+        a, b = np.searchsorted(self.doc, [d0, d1])
+        term = self.term[a:b]
+        n = plan.start[term + 1] - plan.start[term]
+        if n.sum() > PAIRS and d1 - d0 > 1:
+            self._score(plan, top, q0, q1, asks, could, d0, (d0 + d1) // 2)
+            self._score(plan, top, q0, q1, asks, could, (d0 + d1) // 2, d1)
+            return
+        query = plan.queries[_expand(plan.start[term], n)]
+        doc, weight = np.repeat(self.doc[a:b] - d0, n), np.repeat(self.weight[a:b], n)
+        if q0 or q1 < len(plan.ids):
+            here = (query >= q0) & (query < q1)
+            query, doc, weight = query[here] - q0, doc[here], weight[here]
+        score = np.bincount(doc * (q1 - q0) + query, weights=weight, minlength=(d1 - d0) * (q1 - q0)).reshape(d1 - d0, q1 - q0)
+        least, slack = top.least[q0:q1], 10.0**-DECIMALS
+        alive = np.flatnonzero(score.max(axis=0) + could >= np.maximum(least - slack, slack / 4))
+        if not len(alive):
+            return
+        score = np.round(score[:, alive] + self.matrix[d0:d1] @ asks[:, alive], DECIMALS)
+        floor = np.maximum(least[alive], slack / 2)
+        if d1 - d0 > top.k:
+            floor = np.maximum(floor, np.partition(score, d1 - d0 - top.k, axis=0)[d1 - d0 - top.k])
+        found, which = np.nonzero(score >= floor)
+        top.add(alive[which] + q0, self.ids[d0 + found], score[found, which])
 
 
 def _queries(docs: DataFrame, chosen: Column) -> DataFrame:
@@ -165,25 +216,13 @@ def _scan(plan, mean: float, k: int):
     """The best k of a task's shards for each query of the plan."""
 
     def run(batches):
-        ids, wanted, terms, idf = plan.value
-        top = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        top = Top(len(plan.value.ids), k)
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row, mean)
-                if not len(shard.vocab):
-                    continue
-                place = np.minimum(np.searchsorted(shard.vocab, terms), len(shard.vocab) - 1)
-                place = np.where(shard.vocab[place] == terms, place, -1)
-                for q, want in enumerate(wanted):
-                    at = place[want]
-                    here = at >= 0
-                    if here.any():
-                        have = top[q]
-                        found = shard.search(at[here], idf[want[here]], k, float(have[1][-1]) if len(have[0]) == k else 0.0)
-                        top[q] = best(np.concatenate([have[0], found[0]]), np.concatenate([have[1], found[1]]), k)
-        slices = range(0, len(ids), _SLICE)
-        cells = [[np.repeat(np.arange(s, min(s + _SLICE, len(ids))), [len(t[0]) for t in top[s : s + _SLICE]]), np.concatenate([t[0] for t in top[s : s + _SLICE]]), np.concatenate([t[1] for t in top[s : s + _SLICE]])] for s in slices]
-        yield pa.record_batch({"slice": pa.array(range(len(cells)), pa.int32()), **{name: pa.array([pack(c[i]) for c in cells], pa.binary()) for i, name in enumerate(("query", "doc", "score"))}})
+                Shard(row, mean, plan.value).search(plan.value, top)
+        cut = np.searchsorted(top.query, np.arange(0, len(plan.value.ids) + _SLICE, _SLICE))
+        cells = [[pack(x[a:b]) for x in (top.query, top.ids, top.scores)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.record_batch({"slice": pa.array(range(len(cells)), pa.int32()), **{name: pa.array([c[i] for c in cells], pa.binary()) for i, name in enumerate(("query", "doc", "score"))}})
 
     return run
 
@@ -192,16 +231,10 @@ def _merge(plan, k: int):
     """The best k of all tasks for a slice of the queries."""
 
     def merge(key: tuple, parts: pa.Table) -> pa.Table:
-        query, doc, score = (np.concatenate([unpack(x) for x in parts[name].to_pylist()]) for name in ("query", "doc", "score"))
-        order = np.argsort(query, kind="stable")
-        query, doc, score = query[order], doc[order], score[order]
-        cells: list[list] = [[], [], [], []]
-        for q in np.unique(query):
-            a, b = np.searchsorted(query, [q, q + 1])
-            ids, scores = best(doc[a:b], score[a:b], k)
-            for cell, x in zip(cells, ([plan.value[0][q]] * len(ids), range(1, len(ids) + 1), ids.tolist(), scores.tolist()), strict=True):
-                cell += x
-        return pa.table([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["query_id", "rank", "doc_id", "score"])
+        top = Top(len(plan.value.ids), k)
+        top.add(*(np.concatenate([unpack(x) for x in parts[name].to_pylist()]) for name in ("query", "doc", "score")))
+        rank = np.arange(len(top.query)) - np.searchsorted(top.query, top.query) + 1
+        return pa.table([pa.array(plan.value.ids[top.query], pa.int64()), pa.array(rank, pa.int32()), pa.array(top.ids, pa.int64()), pa.array(top.scores, pa.float64())], ["query_id", "rank", "doc_id", "score"])
 
     return merge
 
@@ -224,11 +257,10 @@ def search(docs: DataFrame, chosen: Column, k: int = 10, shard_words: int = SHAR
         asked = sorted((r["query_id"], unpack_sorted(r["terms"])) for r in queries.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).where("n > 0").collect())  # query_terms terms or so
         if not asked:
             continue
-        terms = np.unique(np.concatenate([t for _, t in asked]))
-        df = _frequencies(table, terms)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        plan = spark.sparkContext.broadcast(([q for q, _ in asked], [np.searchsorted(terms, t).astype(np.int32) for _, t in asked], terms, idf))
-
+        turn_plan = Plan(asked)
+        df = _frequencies(table, turn_plan.terms)
+        turn_plan.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        plan = spark.sparkContext.broadcast(turn_plan)
         run, merge = _scan(plan, mean, k), _merge(plan, k)
         part = table.mapInArrow(run, "slice int, query binary, doc binary, score binary").groupBy("slice").applyInArrow(merge, "query_id long, rank int, doc_id long, score double")
         out = part if out is None else out.unionByName(part)
