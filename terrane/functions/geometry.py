@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Zero = F.lit(0.0)
+def _zero() -> Column:
+    return F.lit(0.0)
 
 
 def point(x: Column | str, y: Column | str) -> Column:
@@ -37,7 +38,7 @@ def _around(p: Column) -> Column:
 
 
 def _sum(values: Column) -> Column:
-    return F.aggregate(values, Zero, lambda a, v: a + v)
+    return F.aggregate(values, _zero(), lambda a, v: a + v)
 
 
 def hypot(a: Column, b: Column) -> Column:
@@ -82,7 +83,7 @@ def along(q: Column, a: Column, b: Column) -> Column:
     """Where the foot of q lies on the segment a to b, from 0 to 1."""
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     n = dx * dx + dy * dy
-    return F.when(n == 0, Zero).otherwise(F.least(F.greatest(((q["x"] - a["x"]) * dx + (q["y"] - a["y"]) * dy) / n, Zero), F.lit(1.0)))
+    return F.when(n == 0, _zero()).otherwise(F.least(F.greatest(((q["x"] - a["x"]) * dx + (q["y"] - a["y"]) * dy) / n, _zero()), F.lit(1.0)))
 
 
 def segment_distance(q: Column, a: Column, b: Column) -> Column:
@@ -104,19 +105,19 @@ def contains(p: Column, q: Column) -> Column:
 def ring_distance(p: Column, q: Column) -> Column:
     """0 inside."""
     edge = F.array_min(F.zip_with(p, _around(p), lambda a, b: segment_distance(q, a, b)))
-    return F.when(contains(p, q), Zero).otherwise(edge)
+    return F.when(contains(p, q), _zero()).otherwise(edge)
 
 
 def interpolate(p: Column, share: Column) -> Column:
     """The point of a two-vertex line at a share of its length."""
-    return point(p[0]["x"] + share * (p[-1 + 2]["x"] - p[0]["x"]), p[0]["y"] + share * (p[1]["y"] - p[0]["y"]))
+    return point(p[0]["x"] + share * (p[1]["x"] - p[0]["x"]), p[0]["y"] + share * (p[1]["y"] - p[0]["y"]))
 
 
 def project(p: Column, q: Column) -> Column:
     """The distance along a polyline of the place nearest to q, the first of several."""
     n = F.size(p)
     steps = F.zip_with(F.slice(p, F.lit(1), n - 1), _next(p), lambda a, b: F.struct(segment_distance(q, a, b).alias("d"), (along(q, a, b) * hypot(a, b)).alias("at"), hypot(a, b).alias("l")))
-    start = F.struct(Zero.alias("run"), F.lit(float("inf")).alias("d"), Zero.alias("at"))
+    start = F.struct(_zero().alias("run"), F.lit(float("inf")).alias("d"), _zero().alias("at"))
     walk = F.aggregate(steps, start, lambda s, x: F.struct((s["run"] + x["l"]).alias("run"), F.least(s["d"], x["d"]).alias("d"), F.when(x["d"] < s["d"], s["run"] + x["at"]).otherwise(s["at"]).alias("at")))
     return walk["at"]
 
@@ -128,13 +129,13 @@ def affine(p: Column, a: float, b: float, c: float, d: float, e: float, f: float
 
 def clip_share(a: Column, b: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The share of the segment a to b inside a box (Liang-Barsky); 0 if it misses."""
-    lo, hi, ok = Zero, F.lit(1.0), F.lit(True)
+    lo, hi, ok = _zero(), F.lit(1.0), F.lit(True)
     for d, inside, outside in ((b["x"] - a["x"], a["x"] - x0, x1 - a["x"]), (b["y"] - a["y"], a["y"] - y0, y1 - a["y"])):
         # Where a direction has no extent, the segment is inside the slab or misses it.
-        enter = F.when(d == 0, Zero).otherwise(F.least(-inside / F.nullif(d, Zero), outside / F.nullif(d, Zero)))
-        leave = F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(-inside / F.nullif(d, Zero), outside / F.nullif(d, Zero)))
+        enter = F.when(d == 0, _zero()).otherwise(F.least(-inside / F.nullif(d, _zero()), outside / F.nullif(d, _zero())))
+        leave = F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(-inside / F.nullif(d, _zero()), outside / F.nullif(d, _zero())))
         lo, hi, ok = F.greatest(lo, enter), F.least(hi, leave), ok & ((d != 0) | ((inside >= 0) & (outside >= 0)))
-    return F.when(ok & (hi > lo), hi - lo).otherwise(Zero)
+    return F.when(ok & (hi > lo), hi - lo).otherwise(_zero())
 
 
 def half_plane(p: Column, nx: Column, ny: Column, c: Column) -> Column:
@@ -143,7 +144,7 @@ def half_plane(p: Column, nx: Column, ny: Column, c: Column) -> Column:
 
     def edge(u: Column, v: Column) -> Column:
         su, sv = side(u), side(v)
-        t = su / F.nullif(su - sv, Zero)
+        t = su / F.nullif(su - sv, _zero())
         cut = point(u["x"] + t * (v["x"] - u["x"]), u["y"] + t * (v["y"] - u["y"]))
         none = F.array().cast("array<struct<x:double,y:double>>")
         return F.concat(F.when(su >= 0, F.array(u)).otherwise(none), F.when((su >= 0) != (sv >= 0), F.array(cut)).otherwise(none))
@@ -151,18 +152,16 @@ def half_plane(p: Column, nx: Column, ny: Column, c: Column) -> Column:
     return F.flatten(F.zip_with(p, _around(p), edge))
 
 
-def convex_intersection(p: Column, q: Column, vertices: int) -> Column:
-    """The intersection of a convex ring with a counter-clockwise convex ring of a known number of vertices."""
-    for i in range(vertices):
-        a, b = q[i], q[(i + 1) % vertices]
-        nx, ny = -(b["y"] - a["y"]), b["x"] - a["x"]
-        p = half_plane(p, nx, ny, nx * a["x"] + ny * a["y"])
-    return p
+def convex_intersection(p: Column, q: Column) -> Column:
+    """The intersection of a convex ring with a counter-clockwise convex ring, whose edges cut it one after the other."""
+    edges = F.zip_with(q, _around(q), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), (a["y"] - b["y"]).alias("nx"), (b["x"] - a["x"]).alias("ny")))
+    kind = "array<struct<x:double,y:double>>"
+    return F.aggregate(edges, p.cast(kind), lambda ring, e: half_plane(ring, e["nx"], e["ny"], e["nx"] * e["ax"] + e["ny"] * e["ay"]).cast(kind))
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """The common length of two intervals, 0 if they are apart."""
-    return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), Zero)
+    return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), _zero())
 
 
 def angle_difference(a: Column, b: Column) -> Column:

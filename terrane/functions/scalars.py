@@ -72,7 +72,7 @@ def band_of(value: Column, bands: Column) -> Column:
 def eligible_amount(measured: Column, declared: Column, rate: Column, bonus: Column, least_area: float) -> Column:
     """On the smaller area, nothing below the least one; to hundreds."""
     paid = F.when(measured >= least_area, F.least(measured, declared)).otherwise(0.0)
-    return half_even(paid * (rate + bonus), -2).cast("long")
+    return (half_even(F.round(paid * (rate + bonus), 2) / 100) * 100).cast("long")
 
 
 def worst(*statuses: Column) -> Column:
