@@ -5,10 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from conftest import TESTDATA
 from terrane import plans
 
-SF = f"{TESTDATA}/sf0.001"
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
