@@ -1,8 +1,10 @@
 """Similarity join of documents on sets of word shingles, and its components.
 
-Blocks first. Sets within the threshold differ in few shingles, at most d for a smaller set of a given size class. If shingles are dealt
-into more than d parts by their hash, one part at least is the same in both. Documents with a part in common form families (components
-over equal parts, found without making pairs), and no link leaves a family. Equal sets are one node throughout.
+Blocks first. A set of n shingles that must share T with a partner shares one of its n - T + 1 rarest, whatever order of rarity all sets
+go by. The order here: shingles of a fixed sample of the hash space by their number of documents, then the rest. So the numbers of a part
+of all shingles are counted, exactly; a set more than n - T of whose shingles occur nowhere else links with nothing and is done with; of
+the others, those that have one of their rarest shingles in common form families (components, found without making pairs), and no link
+leaves a family. Shingles that many documents share come last in the order and bring few together. Equal sets are one node throughout.
 
 Then T-occurrence search in each family: an inverted index of shingles over a block of sets is searched for the sets of another, or the
 same, block that reach the overlap T. DivideSkip sets the longest lists aside, merges the short ones with a heap, keeps documents that
@@ -24,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.graph import components
+from terrane.llm.katz import _slices as slices
+from terrane.llm.katz import pack, pack_sorted, unpack, unpack_sorted
 from terrane.llm.store import Scratch
 from terrane.llm.text import batch_of, map_batches, mix, shingle_set, word_hashes
 
 #: Shingles in a block of a family; rows of a few numbers each that may be broadcast (32 MB), beyond which a shuffle does the join.
 BLOCK_SHINGLES, BROADCAST_ROWS = 1 << 18, 1_000_000
+#: Hashes of a part of the table that counts shingles, and repeated ones that may be broadcast (72 MB), else joined by a shuffle.
+TABLE_HASHES, BROADCAST_HASHES = 1_500_000, 8_000_000
 #: Weight of binary search against merging when the number of long lists is chosen.
 _MU = 0.02
 
@@ -39,19 +45,6 @@ class Threshold:
 
     percent: int
 
-    def bounds(self) -> list[int]:
-        """Least sizes of the classes; a partner of a set is in its class or a neighbouring one."""
-        out = [1]
-        while out[-1] < 1 << 40:
-            out.append(100 * out[-1] // self.percent + 1)
-        return out
-
-    def parts(self, top: int) -> tuple[int, int]:
-        """For sets of a class with sizes up to ``top``: the number of parts, and how many may be empty and go unused."""
-        differ = (100 - self.percent) * top // self.percent
-        spare = 0 if differ == 0 else 1 + differ // 500
-        return differ + 1 + spare, spare
-
     def overlap(self, size: int) -> int:
         """The least intersection of a set with any that it links to."""
         return -(-self.percent * size // 100)
@@ -67,29 +60,22 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(both[:1] ^ (both[1:] * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)[0])
 
 
-def signatures(shingles: np.ndarray, t: Threshold, bounds: np.ndarray) -> np.ndarray:
-    """Hashes of the parts of a set, for pairs in which it is the smaller and for those in which it is the larger.
+def sampled(shingles: np.ndarray, t: Threshold) -> np.ndarray:
+    """Whether shingles belong to the sample that is counted: twice the share that a set's rarest ones make up."""
+    return (mix(shingles ^ np.uint64(0xA5A5A5A5)) >> np.uint64(40)) < np.uint64(min(1.0, 2 * (100 - t.percent) / 100) * (1 << 24))
 
-    A set with more empty parts than are spare gives them too: then either its partner has as many, or one of the parts that both
-    share holds something.
-    """
-    c = int(np.searchsorted(bounds, len(shingles), "right")) - 1
-    place, value = mix(shingles ^ np.uint64(0xA5A5A5A5)) >> np.uint64(33), mix(shingles + np.uint64(0xC0FFEE))
-    out = []
-    for band in (c, c - 1):
-        if band < 0 or band < c and len(shingles) * t.percent > 100 * (int(bounds[band + 1]) - 1):
-            continue
-        k, spare = t.parts(int(bounds[band + 1]) - 1)
-        at = (place % np.uint64(k)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        run = np.flatnonzero(np.diff(at[order], prepend=-1))
-        used, total = at[order][run], np.add.reduceat(value[order], run)
-        if k - len(used) > spare:
-            full = np.zeros(k, np.uint64)
-            full[used] = total
-            used, total = np.arange(k), full
-        out.append(mix(total + mix(used.astype(np.uint64) + np.uint64(band << 40))))
-    return np.unique(np.concatenate(out)).view(np.int64)
+
+def rarest(shingles: np.ndarray, t: Threshold, known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Of a set's n - T + 1 rarest shingles those that others may have; none if the set can't link. known: repeated ones, sorted."""
+    n = len(shingles) - t.overlap(len(shingles)) + 1
+    ours = sampled(shingles, t)
+    first = shingles[ours]
+    at = np.minimum(np.searchsorted(known, first), max(0, len(known) - 1))
+    number = np.where(known[at] == first, numbers[at], 1) if len(known) else np.ones(len(first), np.int64)
+    if (number == 1).sum() >= n:
+        return shingles[:0]
+    order = np.lexsort((first, number))[:n]
+    return np.concatenate([first[order][number[order] > 1], shingles[~ours][: max(0, n - len(first))]])
 
 
 class Forest:
@@ -118,9 +104,8 @@ class Index:
     def search(self, query: np.ndarray, t: Threshold) -> Iterator[tuple[int, int]]:
         """Sets of the block that link to the query, with their overlaps; the likeliest first. DivideSkip."""
         need = t.overlap(len(query))
-        at = np.searchsorted(self.tokens, query)
-        at = at[(at < len(self.tokens))]
-        at = at[np.isin(self.tokens[at], query, assume_unique=True)]
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
         if len(at) < need:
             return
         size = self.start[at + 1] - self.start[at]
@@ -161,26 +146,113 @@ def links_within(left: list[np.ndarray], right: list[np.ndarray] | None, t: Thre
     return out
 
 
-def _shingled(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """doc_id, n_shingles, node (null without words) and sigs of each row."""
+def _shingled(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles and node (null without words) of each row."""
 
     def kernel():
-        bounds = np.array(t.bounds())
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            count, node, sigs = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(word_hashes(text.as_py()), size)
-                count.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-                sigs.append(signatures(s, t, bounds) if len(s) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            return batch_of(schema, [batch.column(0), count, node, pa.ListArray.from_arrays(offsets, np.concatenate(sigs))])
+            sets = [shingle_set(word_hashes(text.as_py()), size) for text in batch.column(1)]
+            return batch_of(schema, [batch.column(0), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
 
         return run
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, n_shingles long, node long, sigs array<long>")
+    return map_batches(_columns(docs), kernel, "doc_id long, n_shingles long, node long")
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _nodes(batch: pa.RecordBatch, size: int) -> dict[int, np.ndarray]:
+    """The distinct sets of a batch by node."""
+    found: dict[int, np.ndarray] = {}
+    for text in batch.column(1):
+        s = shingle_set(word_hashes(text.as_py()), size)
+        if len(s):
+            found.setdefault(node_of(s), s)
+    return found
+
+
+def _repeated(docs: DataFrame, size: int, t: Threshold, bits: int) -> DataFrame:
+    """The sampled shingles that occur in several sets, with their numbers (255 for more), as sorted arrays by part of the hash space.
+
+    A batch sends its distinct shingles, sorted and delta-coded, with counts. Copies of a set in several batches count each; that only
+    makes the order coarser, as it is the same for all.
+    """
+
+    def kernel():
+        schema = pa.schema([("part", pa.int32()), ("shingles", pa.binary()), ("counts", pa.binary())])
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            sets = [s[sampled(s, t)] for s in _nodes(batch, size).values()]
+            if not sets:
+                return None
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            at = slices(h, bits)
+            parts = [(p, pack_sorted(h[a:b]), pack(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+            return batch_of(schema, list(zip(*parts, strict=True))) if parts else None
+
+        return run
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        h, place = np.unique(np.concatenate([unpack_sorted(x) for x in table["shingles"].to_pylist()]), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([unpack(x) for x in table["counts"].to_pylist()]))
+        again = n > 1
+        return pa.table({"shingles": pa.array([pack_sorted(h[again])], pa.binary()), "numbers": pa.array([pack(np.minimum(n[again], 255).astype(np.uint8))], pa.binary()), "n": pa.array([int(again.sum())], pa.int64())})
+
+    return map_batches(_columns(docs.where("doc_id IS NOT NULL")), kernel, "part int, shingles binary, counts binary").groupBy("part").applyInArrow(meet, "shingles binary, numbers binary, n long")
+
+
+def _memberships(docs: DataFrame, repeated: DataFrame, size: int, t: Threshold, broadcast_hashes: int) -> DataFrame:
+    """(shingle, node): the rarest shingles of the sets that can link."""
+    docs = _columns(docs.where("doc_id IS NOT NULL"))
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64())])
+    if (repeated.agg(F.sum("n")).first()[0] or 0) <= broadcast_hashes:
+        rows = repeated.select("shingles", "numbers").collect()
+        h, n = (np.concatenate([np.zeros(0, kind), *(f(r[k]) for r in rows)]) for k, kind, f in (("shingles", np.uint64, unpack_sorted), ("numbers", np.uint8, unpack)))
+        order = np.argsort(h)
+        table = docs.sparkSession.sparkContext.broadcast((h[order], n[order]))
+
+        def kernel():
+            def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                found = {node: r for node, s in _nodes(batch, size).items() if len(r := rarest(s, t, *table.value))}
+                if not found:
+                    return None
+                return batch_of(schema, [np.concatenate(list(found.values())).view(np.int64), np.repeat(np.array(list(found), np.int64), [len(r) for r in found.values()])])
+
+            return run
+
+        return map_batches(docs, kernel, "shingle long, node long")
+
+    # Too many to broadcast: the numbers come to the shingles by a join, and each set's are put in order again.
+    def exploded():
+        kind = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("ours", pa.bool_())])
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            found = _nodes(batch, size)
+            if not found:
+                return None
+            s = np.concatenate(list(found.values()))
+            return batch_of(kind, [np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()]), s.view(np.int64), sampled(s, t)])
+
+        return run
+
+    def unpacked():
+        kind = pa.schema([("shingle", pa.int64()), ("number", pa.int32())])
+        return lambda b: batch_of(kind, [np.concatenate([unpack_sorted(x.as_py()) for x in b.column(0)]).view(np.int64), np.concatenate([unpack(x.as_py()) for x in b.column(1)]).astype(np.int32)])
+
+    numbers = map_batches(repeated.select("shingles", "numbers"), unpacked, "shingle long, number int")
+    rows = map_batches(docs, exploded, "node long, shingle long, ours boolean").distinct().join(numbers, "shingle", "left")
+
+    def pick(key: tuple, table: pa.Table) -> pa.Table:
+        s = np.sort(np.array(table["shingle"].to_pylist(), np.int64).view(np.uint64))
+        pairs = sorted((np.int64(x).view(np.uint64), n) for x, n in zip(table["shingle"].to_pylist(), table["number"].to_pylist(), strict=True) if n is not None)
+        r = rarest(s, t, np.array([x for x, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64))
+        return pa.table({"shingle": pa.array(r.view(np.int64), pa.int64()), "node": pa.array([key[0].as_py()] * len(r), pa.int64())})
+
+    return rows.groupBy("node").applyInArrow(pick, "shingle long, node long")
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -222,7 +294,7 @@ def _links(docs: DataFrame, plan: DataFrame, size: int, t: Threshold) -> DataFra
     return dealt.groupBy("family", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``.
 
     A document's set: the distinct runs of ``size`` words, or its whole words as one run if there are fewer. Documents link when
@@ -231,11 +303,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int
     null id link with nothing and have a null component_id. Other columns of ``docs`` are not read.
     """
     t, scratch = Threshold(percent), Scratch(docs.sparkSession, "ngrams")
-    sets = scratch.save(_shingled(docs, size, t), "sets")
+    sets = scratch.save(_shingled(docs, size), "sets")
     known = sets.where("doc_id IS NOT NULL AND node IS NOT NULL")
-    parts = known.select("node", F.explode("sigs").alias("sig"))
-    shared = scratch.save(parts.groupBy("sig").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where("first <> _last").select("sig", "first"), "shared")
-    family = components(parts.join(_bounded(shared), "sig").select("node", "first").distinct(), scratch)
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = max(2, math.ceil(math.log2(2 * total * (100 - percent) / 100 / TABLE_HASHES + 1)))
+    parts = scratch.save(_memberships(docs, scratch.save(_repeated(docs, size, t, bits), "repeated"), size, t, broadcast_hashes), "parts")
+    shared = scratch.save(parts.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where("first <> _last").select("shingle", "first"), "shared")
+    family = components(parts.join(_bounded(shared), "shingle").select("node", "first").distinct(), scratch)
+    scratch.drop(parts, shared)
     family = scratch.save(family.unionByName(family.select(F.col("root").alias("node"), "root")).distinct(), "families")
     one = known.join(_bounded(family), "node").groupBy("node", "root").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     one = scratch.save(one, "nodes")
