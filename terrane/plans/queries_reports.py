@@ -157,11 +157,11 @@ def q37_tour_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("vineyard_id").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     along = orders.withColumn("at", F.round(F.sum("leg").over(w), 6)).withColumn("whole", F.max("at").over(Window.partitionBy("vineyard_id")))
     days = reports.route_buckets(along, "at", F.col("whole"), 5)
-    return days.groupBy("vineyard_id", "day").agg(F.count(F.lit(1)).alias("stops"), F.round(F.sum("leg"), 4).alias("length"), F.round(S.minutes(F.sum("leg")), 4).alias("minutes"))
+    return days.groupBy("vineyard_id", "day").agg(F.count(F.lit(1)).alias("stops"), F.round(F.sum("leg"), 5).alias("length"), F.round(S.minutes(F.sum("leg")), 4).alias("minutes"))
 
 
 ORACLE["q37_tour_buckets"] = """WITH o AS (SELECT o_custkey % 46 AS vineyard_id, o_totalprice / 1000 AS leg, round(sum(o_totalprice / 1000) OVER (PARTITION BY o_custkey % 46 ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 6) AS at_ FROM orders),
 m AS (SELECT *, max(at_) OVER (PARTITION BY vineyard_id) AS whole FROM o), d AS (SELECT *, CAST(least(floor(at_ / (whole / 5)), 4) AS INTEGER) + 1 AS day FROM m)
-SELECT vineyard_id, day, count(*) AS stops, round(sum(leg), 4) AS length, round(sum(leg) / (4.0 * 1000 / 60), 4) AS minutes FROM d GROUP BY vineyard_id, day"""
+SELECT vineyard_id, day, count(*) AS stops, round(sum(leg), 5) AS length, round(sum(leg) / (4.0 * 1000 / 60), 4) AS minutes FROM d GROUP BY vineyard_id, day"""
 
 QUERIES = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}
