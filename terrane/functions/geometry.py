@@ -184,3 +184,26 @@ def share_within(p: Column, q: Column, tolerance: float, step: float) -> Column:
     n = F.greatest(F.lit(2), (length(p) / step).cast("int") + 1)
     near = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(line_distance(interpolate(p, i / (n - 1)), q) <= tolerance, 1.0).otherwise(0.0))
     return _sum(near) / n
+
+
+def split_parallel(p: Column, degrees: Column) -> tuple[Column, Column]:
+    """The two parts of a convex ring on either side of the line through its centroid in a direction."""
+    c = centroid(p)
+    nx, ny = -F.sin(F.radians(degrees)), F.cos(F.radians(degrees))
+    at = nx * c["x"] + ny * c["y"]
+    return half_plane(p, nx, ny, at), half_plane(p, -nx, -ny, -at)
+
+
+def utm(longitude: Column, latitude: Column, zone: int) -> Column:
+    """Degrees on WGS 84 to metres of a northern UTM zone, by the Krueger series to the third order (under a millimetre in the zone)."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    lat, lon = F.radians(latitude), F.radians(longitude - (zone * 6 - 183))
+    t = F.sinh(F.atanh(F.sin(lat)) - e * F.atanh(e * F.sin(lat)))
+    xi, eta = F.atan2(t, F.cos(lon)), F.atanh(F.sin(lon) / F.sqrt(1 + t * t))
+    x = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    y = xi + sum(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    return point(500000 + 0.9996 * radius * x, 0.9996 * radius * y)
