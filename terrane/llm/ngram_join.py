@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -31,12 +31,12 @@ from terrane.llm.katz import pack, pack_sorted, unpack, unpack_sorted
 from terrane.llm.store import Scratch
 from terrane.llm.text import batch_of, map_batches, mix, shingle_set, word_hashes
 
-#: Shingles in a block of a family; rows of a few numbers each that may be broadcast (32 MB), beyond which a shuffle does the join.
-BLOCK_SHINGLES, BROADCAST_ROWS = 1 << 18, 1_000_000
-#: Hashes of a part of the table that counts shingles, and repeated ones that may be broadcast (72 MB), else joined by a shuffle.
-TABLE_HASHES, BROADCAST_HASHES = 1_500_000, 8_000_000
-#: Weight of binary search against merging when the number of long lists is chosen.
-_MU = 0.02
+#: Shingles in a block of a family; rows of a few numbers each that may be broadcast (8 MB), beyond which a shuffle does the join.
+BLOCK_SHINGLES, BROADCAST_ROWS = 1 << 18, 250_000
+#: Hashes of a part of the table that counts shingles, and repeated ones that may be broadcast (36 MB), else joined by a shuffle.
+TABLE_HASHES, BROADCAST_HASHES = 1_500_000, 4_000_000
+#: Weight of looking up against merging when the number of long lists is chosen; lookups are made for all candidates at once.
+_MU = 0.001
 
 
 @dataclass(frozen=True)
@@ -101,8 +101,12 @@ class Index:
         self.owner = owner[order]
         self.sizes = [len(s) for s in sets]
 
-    def search(self, query: np.ndarray, t: Threshold) -> Iterator[tuple[int, int]]:
-        """Sets of the block that link to the query, with their overlaps; the likeliest first. DivideSkip."""
+    def search(self, query: np.ndarray, t: Threshold, root: Callable[[int], int] = lambda doc: doc, own: Callable[[], int] = lambda: -1) -> Iterator[tuple[int, int]]:
+        """Sets of the block that link to the query, with their overlaps. DivideSkip.
+
+        root names the component of a set and own that of the query as it is by then: the likeliest set of each component is looked
+        up first, and the others only if their component is still another one.
+        """
         need = t.overlap(len(query))
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
         at = at[self.tokens[at] == query]
@@ -114,23 +118,32 @@ class Index:
         longest = min(need - 1, int(need / (_MU * math.log2(int(size[-1]) + 1) + 1)))
         cut = len(at) - longest
         short = [self.owner[self.start[i] : self.start[i + 1]].tolist() for i in at[:cut]]
-        found = [(doc, n) for doc, run in groupby(heapq.merge(*short)) if (n := sum(1 for _ in run)) >= need - longest]
-        if not found:
-            return
-        docs, count = np.array([d for d, _ in found]), np.array([n for _, n in found])
-        for k in range(cut, len(at)):
-            ids = self.owner[self.start[at[k]] : self.start[at[k] + 1]]
+        found = sorted(((n, doc) for doc, run in groupby(heapq.merge(*short)) if (n := sum(1 for _ in run)) >= need - longest), key=lambda x: (-x[0], x[1]))
+        first = {}
+        for n, doc in found:
+            first.setdefault(root(doc), (n, doc))
+        first.pop(own(), None)
+        chosen = set(first.values())
+        for part in (lambda: list(first.values()), lambda: [x for x in found if x not in chosen and root(x[1]) != own()]):
+            if candidates := part():
+                docs, count = self._looked_up(at[cut:], np.array([d for _, d in candidates]), np.array([n for n, _ in candidates]), need)
+                for i in np.argsort(-count, kind="stable"):
+                    if t.links(len(query), self.sizes[docs[i]], int(count[i])):
+                        yield int(docs[i]), int(count[i])
+
+    def _looked_up(self, lists: np.ndarray, docs: np.ndarray, count: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Adds to counts whether documents are in the long lists, by binary search; those that can't reach ``need`` any more go."""
+        for k, i in enumerate(lists):
+            ids = self.owner[self.start[i] : self.start[i + 1]]
             place = np.minimum(np.searchsorted(ids, docs), len(ids) - 1)
-            count += ids[place] == docs
+            count = count + (ids[place] == docs)
             if k & 15 == 0:
-                alive = count + (len(at) - k - 1) >= need
+                alive = count + (len(lists) - k - 1) >= need
                 if not alive.all():
                     docs, count = docs[alive], count[alive]
                     if not len(docs):
-                        return
-        for i in np.argsort(-count, kind="stable"):
-            if t.links(len(query), self.sizes[docs[i]], int(count[i])):
-                yield int(docs[i]), int(count[i])
+                        break
+        return docs, count
 
 
 def links_within(left: list[np.ndarray], right: list[np.ndarray] | None, t: Threshold) -> list[tuple[int, int]]:
@@ -138,7 +151,7 @@ def links_within(left: list[np.ndarray], right: list[np.ndarray] | None, t: Thre
     index, forest, out = Index(left), Forest(len(left) + len(right or [])), []
     for i, query in enumerate(left if right is None else right):
         me = i if right is None else len(left) + i
-        for other, _ in index.search(query, t):
+        for other, _ in index.search(query, t, forest.root, lambda me=me: forest.root(me)):
             a, b = forest.root(me), forest.root(other)
             if a != b:
                 forest.up[a] = b
@@ -307,16 +320,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int
     known = sets.where("doc_id IS NOT NULL AND node IS NOT NULL")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(2, math.ceil(math.log2(2 * total * (100 - percent) / 100 / TABLE_HASHES + 1)))
-    parts = scratch.save(_memberships(docs, scratch.save(_repeated(docs, size, t, bits), "repeated"), size, t, broadcast_hashes), "parts")
+    repeated = scratch.save(_repeated(docs, size, t, bits), "repeated")
+    parts = scratch.save(_memberships(docs, repeated, size, t, broadcast_hashes), "parts")
     shared = scratch.save(parts.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where("first <> _last").select("shingle", "first"), "shared")
     family = components(parts.join(_bounded(shared), "shingle").select("node", "first").distinct(), scratch)
-    scratch.drop(parts, shared)
+    scratch.drop(repeated, parts, shared)
     family = scratch.save(family.unionByName(family.select(F.col("root").alias("node"), "root")).distinct(), "families")
     one = known.join(_bounded(family), "node").groupBy("node", "root").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     one = scratch.save(one, "nodes")
     blocks = one.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
     plan = scratch.save(one.join(blocks, "root").select("doc_id", "node", F.col("root").alias("family"), "blocks"), "plan")
-    linked = components(scratch.save(_links(docs, _bounded(plan), size, t), "links"), scratch)
+    links = scratch.save(_links(docs, _bounded(plan), size, t), "links")
+    linked = components(links, scratch)
+    scratch.drop(family, one, plan, links)
     rooted = sets.select("doc_id", "n_shingles", "node").join(_bounded(linked), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     least = rooted.where("root IS NOT NULL AND doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id"))
