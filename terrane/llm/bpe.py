@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from terrane.llm.text import batch_of, map_batches
 
-#: Remembered pre-tokens of one worker; a full memory becomes the older one and a new one starts. Token pairs: three times as many.
-REMEMBERED = 300_000
+#: Remembered pre-tokens of one worker; a full memory becomes the older one and a new one starts. Token pairs: four times as many.
+REMEMBERED = 200_000
 _LONG = 1 << 20
 
 
@@ -113,7 +113,7 @@ class ByteBpe:
                         break
                     pair = before << 32 | option
                     if (fit := fits.get(pair)) is None:
-                        if len(fits) >= 3 * REMEMBERED:
+                        if len(fits) >= 4 * REMEMBERED:
                             fits.clear()
                         fit = fits[pair] = self.compatible(before, option)
                     if fit:
@@ -175,7 +175,6 @@ _SQL = {"n_tokens": "long", "token_ids": "array<int>", "decoded": "binary", "ids
 def _kernel(vocabulary, pattern: str, schema: pa.Schema, outputs: list[str]) -> Callable:
     def make():
         global _encoder
-        gc.disable()  # the memories hold no cycles, and are large to walk
         if _encoder is None or _encoder[0] != (vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern):
             key = (vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern)
             _encoder = (key, ByteBpe(vocabulary.value if hasattr(vocabulary, "value") else vocabulary, pattern))
@@ -183,6 +182,13 @@ def _kernel(vocabulary, pattern: str, schema: pa.Schema, outputs: list[str]) ->
         ids_of, text_of, bytes_of = itemgetter(0), itemgetter(1), itemgetter(2)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            gc.disable()  # what is remembered holds no cycles, and is large to walk
+            try:
+                return encoded(batch)
+            finally:
+                gc.enable()
+
+        def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: dict[str, list] = {k: [] for k in outputs}
             for cell in batch.column(batch.num_columns - 1):
                 n, all_ids, data = 0, [], []
