@@ -12,19 +12,23 @@ import base64
 import gc
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from terrane.llm.text import batch_of, map_batches
+from terrane.llm.text import batch_of
 
 #: Remembered pre-tokens of one worker; a full memory becomes the older one and a new one starts. Token pairs: four times as many.
 REMEMBERED = 200_000
+#: Rows whose results are held at once.
+ROWS = 128
 _LONG = 1 << 20
 
 
@@ -35,7 +39,8 @@ Entry = tuple[tuple[int, ...], str, bytes]
 class ByteBpe:
     """Encoder and decoder for a vocabulary of ranks (bytes to id)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pieces = regex.compile(pattern)
@@ -113,7 +118,7 @@ class ByteBpe:
                         break
                     pair = before << 32 | option
                     if (fit := fits.get(pair)) is None:
-                        if len(fits) >= 4 * REMEMBERED:
+                        if len(fits) >= 4 * self.remembered:
                             fits.clear()
                         fit = fits[pair] = self.compatible(before, option)
                     if fit:
@@ -147,7 +152,7 @@ class ByteBpe:
                         ids = self.encode_piece(piece)
                         entry = (ids, " ".join(map(str, ids)), self.decode(ids))
                     if len(piece) < 256:
-                        if len(known) >= REMEMBERED:
+                        if len(known) >= self.remembered:
                             self.older = known
                             known = self.known = {}
                         known[piece] = entry
@@ -172,26 +177,28 @@ OUTPUTS = {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32()), "decoded":
 _SQL = {"n_tokens": "long", "token_ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def _kernel(vocabulary, pattern: str, schema: pa.Schema, outputs: list[str]) -> Callable:
+def _kernel(vocabulary, name: str, pattern: str, schema: pa.Schema, outputs: list[str], remembered: int) -> Callable:
     def make():
         global _encoder
-        if _encoder is None or _encoder[0] != (vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern):
-            key = (vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern)
-            _encoder = (key, ByteBpe(vocabulary.value if hasattr(vocabulary, "value") else vocabulary, pattern))
+        key = (name, pattern, remembered)
+        if _encoder is None or _encoder[0] != key:
+            _encoder = (key, ByteBpe(vocabulary.value, pattern, remembered))
         bpe = _encoder[1]
         ids_of, text_of, bytes_of = itemgetter(0), itemgetter(1), itemgetter(2)
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            gc.disable()  # what is remembered holds no cycles, and is large to walk
-            try:
-                return encoded(batch)
-            finally:
-                gc.enable()
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, ROWS):
+                gc.disable()  # what is remembered holds no cycles, and is large to walk
+                try:
+                    out = encoded(batch.slice(at, ROWS))
+                finally:
+                    gc.enable()
+                yield out
 
         def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: dict[str, list] = {k: [] for k in outputs}
             for cell in batch.column(batch.num_columns - 1):
-                n, all_ids, data = 0, [], []
+                n, all_ids, data = 0, array('i'), []
                 ids_hash, data_hash = hashlib.sha256(), hashlib.sha256()
                 for found in bpe.entries(cell.as_py() or ""):
                     if "ids_sha256" in rows and found:
@@ -203,8 +210,8 @@ def _kernel(vocabulary, pattern: str, schema: pa.Schema, outputs: list[str]) ->
                         if "decoded" in rows:
                             data.append(back)
                     if "token_ids" in rows:
-                        all_ids += chain.from_iterable(map(ids_of, found))
-                for k, v in (("n_tokens", n), ("token_ids", all_ids), ("decoded", b"".join(data)), ("ids_sha256", ids_hash.hexdigest()), ("decoded_sha256", data_hash.hexdigest())):
+                        all_ids.extend(chain.from_iterable(map(ids_of, found)))
+                for k, v in (("n_tokens", n), ("token_ids", np.frombuffer(all_ids, np.int32) if all_ids else np.zeros(0, np.int32)), ("decoded", b"".join(data)), ("ids_sha256", ids_hash.hexdigest()), ("decoded_sha256", data_hash.hexdigest())):
                     if k in rows:
                         rows[k].append(v)
             return batch_of(schema, [*batch.columns[:-1], *rows.values()])
@@ -217,13 +224,15 @@ def _kernel(vocabulary, pattern: str, schema: pa.Schema, outputs: list[str]) ->
 _encoder = None
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, ...] = ("n_tokens", "token_ids"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, ...] = ("n_tokens", "token_ids"), id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row per row of ``docs``: its id and the ``outputs`` asked for.
 
     Null and empty texts have no tokens. Repeated rows each give a row, null ids stay null, other columns of ``docs`` are not read.
     The vocabulary is read on the driver and broadcast: its size is fixed by the file and doesn't grow with the data.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()  # workers keep the encoder of a vocabulary from task to task
+    vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
     names = [k for k in OUTPUTS if k in outputs]
     schema = ", ".join([f"doc_id {dict(picked.dtypes)['doc_id']}", *(f"{k} {_SQL[k]}" for k in names)])
@@ -231,4 +240,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, outputs: tuple[str, .
     from pyspark.sql.types import StructType
 
     arrow = pa.schema([to_arrow_schema(StructType(picked.schema.fields[:1])).field(0), *((k, OUTPUTS[k]) for k in names)])
-    return map_batches(picked, _kernel(vocabulary, pattern, arrow, names), schema)
+    make = _kernel(vocabulary, name, pattern, arrow, names, remembered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoded = make()
+        for batch in batches:
+            yield from encoded(batch)
+
+    return picked.mapInArrow(run, schema)
