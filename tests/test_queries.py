@@ -33,6 +33,17 @@ def test_query(spark, duck, name):
     assert rows(ours.columns, ours.collect()) == rows(columns, theirs.fetchall())
 
 
+def test_clip_takes_all_customers(spark, tmp_path):
+    keys = [1, 17, 2999, 3000, 3001, 15_000, 150_017, 9_999_999]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_custkey: r.shared for r in plans.QUERIES["q18_convex_clip_area"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == keys
+    # The area in a quadrant by midpoints of thin columns; the integrand is piecewise linear and bends at whole numbers.
+    for k in keys:
+        r, h = 5 + k % 20, 1 + k % 17
+        assert got[k] == pytest.approx(4 * sum(max(0, min(h, r - (x + 0.5) / 100)) for x in range(100 * h)) / 100, abs=1e-4)
+
+
 def test_spatial_joins_have_keys(spark):
     for name in ("q13_median_spacing", "q14_nearest_within", "q15_pip_else_nearest", "q16_max_overlap", "q20_line_clip_length"):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
