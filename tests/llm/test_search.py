@@ -69,6 +69,24 @@ def test_decontaminate(spark, some_docs, edge_docs, no_docs):
     assert not any(r.contaminated for r in decontam.find(edge_docs, bench.where("false")).collect())
 
 
+def test_items_of_any_length_are_found():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    idf = rng.uniform(0.5, 9, decontam.CELLS).astype(np.float32)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    sizes = [n for n in (1, 2, 3, 4, 6, 8, 11, 14, 15, 19, 59, 150, 320, 400, 600, 800, 2500) for _ in range(4)]
+    items = [[str(w) for w in rng.choice(vocabulary, n)] for n in sizes]
+    finder = decontam.Finder([decontam.block_of(list(range(len(items))), [word_hashes(" ".join(w)) for w in items], idf)], idf)
+    missed = []
+    for i, w in enumerate(items):
+        filler = [f"x{j}" for j in rng.integers(0, 4000, 2000)]
+        at = int(rng.integers(0, 2000))
+        if dict(finder.find(" ".join(filler[:at] + w + filler[at:]))).get(i) != 1.0:
+            missed.append(sizes[i])
+    assert not missed
+
+
 def test_subsequence():
     def lcs(a, b):
         row = [0] * (len(b) + 1)
