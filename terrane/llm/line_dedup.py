@@ -1,8 +1,9 @@
 """Lines that recur across documents, found by a log-template tree, with DataFrame functions alone.
 
 The tree has fixed depth: a line goes by its number of tokens, then by its leading tokens, where a token that holds a digit counts as a
-field ``<*>``; so it comes to a leaf. In a leaf, lines that are the same but for their fields share a template. Lines that no such
-template claims are generalised once more: a position holds a constant if one token fills it in most of the leaf's lines, else a field,
+field ``<*>``; so it comes to a leaf. In a leaf, lines that are the same but for their fields share a template, if MASK_SHARE of its tokens
+are no fields; lines of hardly more than fields (rows of numbers, dates, unspaced sentences) share one only if they are the same
+altogether. Lines that no such template claims are generalised once more: a position holds a constant if one token fills it in most of the leaf's lines, else a field,
 and lines that have all the constants share the leaf's template if enough positions are constant. A template that occurs in MIN_DOCS
 documents is dropped everywhere but in the document with the smallest id, which keeps what the others lose.
 """
@@ -18,6 +19,8 @@ from terrane.llm.store import Scratch
 MIN_DOCS, DEPTH = 3, 4
 #: A token is constant at a position from this share of the leaf's lines on; a template needs this share of constant positions.
 CONSTANT_SHARE, TEMPLATE_SHARE = 0.5, 0.75
+#: A masked line is a template if this share of its tokens are no fields.
+MASK_SHARE = 0.5
 
 #: Rows of two numbers that may be broadcast: 16 MB.
 BROADCAST_ROWS = 1_000_000
@@ -30,12 +33,14 @@ def _masked(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, pos, template (the masked line), leaf and tokens of the lines that hold more than blanks."""
+    """doc_id, text_id, pos, template (the masked line, or the line if that is mostly fields), leaf and masked line of the lines that hold more than blanks."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("pos", "_raw"))
-    lines = lines.select("doc_id", "text_id", "pos", F.trim("_raw").alias("_line")).where("_line <> ''").select("doc_id", "text_id", "pos", _masked(F.col("_line")).alias("_mask"))
+    lines = lines.select("doc_id", "text_id", "pos", F.trim("_raw").alias("_line")).where("_line <> ''").select("doc_id", "text_id", "pos", "_line", _masked(F.col("_line")).alias("_mask"))
     lead = F.substring_index("_mask", " ", DEPTH)
     n = F.length("_mask") - F.length(F.replace("_mask", F.lit(" "), F.lit("")))
-    return lines.select("doc_id", "text_id", "pos", F.xxhash64("_mask").alias("template"), F.xxhash64(n, lead).alias("leaf"), "_mask")
+    fields = (F.length("_mask") - F.length(F.replace("_mask", F.lit("<*>"), F.lit("")))) / 3
+    template = F.when(fields > (1 - MASK_SHARE) * (n + 1), F.col("_line")).otherwise(F.col("_mask"))
+    return lines.select("doc_id", "text_id", "pos", F.xxhash64(template).alias("template"), F.xxhash64(n, lead).alias("leaf"), "_mask")
 
 
 def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:

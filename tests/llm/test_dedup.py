@@ -111,6 +111,16 @@ def test_line_template_with_word_fields(spark):
     assert sorted((r.doc_id, r.n_dropped) for r in got.collect()) == [(0, 0), (1, 1), (2, 1)]
 
 
+def test_lines_of_fields_alone_must_be_the_same(spark):
+    differ = [(i, f"{i}\n{i * 3} {i * 7} {i * 11}\n2019-01-0{i}\n日本語の文{i}です。\nSum {i} {i + 1} {i + 2}\nPage {i} of 9") for i in (1, 2, 3, 4)]
+    same = [(i, "12 34 56\n2019") for i in (5, 6, 7)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_lines(spark.createDataFrame(differ + same, "doc_id long, text string")).collect()}
+    assert got[1] == (differ[0][1], 0)
+    for i, text in differ[1:]:
+        assert got[i] == (text.rsplit("\n", 1)[0], 1)
+    assert got[5] == ("12 34 56\n2019", 0) and got[6] == got[7] == ("", 2)
+
+
 def test_lines_match_sql(spark, some_docs, no_docs):
     con = duckdb.connect()
     con.register("documents", some_docs.toPandas())
