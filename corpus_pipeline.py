@@ -1,6 +1,6 @@
 """A pipeline from raw documents to token ids: five stages, each written as Parquet and read again by the next.
 
-language_id   documents without a language (no letter, or no text) go
+language_id   documents without a language (no letter, or no text) go; where no labelled row has a letter, the others stay all the same
 line_dedup    lines that recur across documents are cut out, and documents of which nothing is left go
 near_copies   of documents that five-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays
 decontaminate documents that hold benchmark items, verbatim or paraphrased, go
@@ -27,7 +27,10 @@ def _apart(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame],
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A model that knows no language calls all texts unknown; then only those without a letter go."""
     model = langid.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
     return _apart(docs, ("lang_pred", "score"), lambda d: langid.predict(d, model).where(F.col("lang_pred") != langid.UNKNOWN))
 
 

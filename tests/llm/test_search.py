@@ -125,6 +125,15 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_copies", "decontaminate", "tokenize"]
 
 
+def test_language_stage_without_labels(spark, edge_docs):
+    import corpus_pipeline
+
+    for docs in (edge_docs.withColumn("lang", F.lit(None).cast("string")), edge_docs.withColumn("lang", F.when(F.col("doc_id") == 6, "fr"))):
+        kept = corpus_pipeline.language_id(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in docs.collect() if any(map(str.isalpha, r.text or "")))
+
+
 def test_pipeline_stages_take_edge_rows(spark, edge_docs, no_docs):
     import corpus_pipeline
 
