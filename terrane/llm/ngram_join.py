@@ -1,15 +1,18 @@
 """Similarity join of documents on sets of word shingles, and its components.
 
-Blocks first. A set of n shingles that must share T with a partner shares one of its n - T + 1 rarest, whatever order of rarity all sets
-go by. The order here: shingles of a fixed sample of the hash space by their number of documents, then the rest. So the numbers of a part
-of all shingles are counted, exactly; a set more than n - T of whose shingles occur nowhere else links with nothing and is done with; of
-the others, those that have one of their rarest shingles in common form families (components, found without making pairs), and no link
-leaves a family. Shingles that many documents share come last in the order and bring few together. Equal sets are one node throughout.
+Blocks first. Sets that link differ in few shingles, d at most for a set of n. Shingles are dealt by hash to m > d parts, so that linked
+sets have at least m - d parts in common, whole. A part with all it holds is a token, tokens have an order that all sets go by, and two
+sets with m - d tokens in common share one of the first d + 1 of each. The order puts parts with many uncommon shingles first; common ones
+are those in crowded cells of a count of fixed size. A token of several uncommon shingles is hardly ever shared by chance, so that sets
+which share one (families, found without making pairs) are near copies but for few. m depends on the class of the larger set's size;
+classes are as wide as links reach, so that each set has tokens of its own class and of the next. Families of classes are apart.
 
 Then T-occurrence search in each family: an inverted index of shingles over a block of sets is searched for the sets of another, or the
 same, block that reach the overlap T. DivideSkip sets the longest lists aside, merges the short ones with a heap, keeps documents that
 occur T - L times there, and looks these up in the L long lists by binary search. Large families are cut into blocks whose pairs are
 searched apart, so that a task holds two blocks. A block pair returns a forest of the links, as many rows as nodes at most.
+
+Equal sets are one node throughout. There is one plan for all sizes: what is broadcast are two bitmaps of fixed size.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +35,11 @@ from terrane.llm.katz import pack, pack_sorted, unpack, unpack_sorted
 from terrane.llm.store import Scratch
 from terrane.llm.text import batch_of, map_batches, mix, shingle_set, word_hashes
 
-#: Shingles in a block of a family; rows of a few numbers each that may be broadcast (8 MB), beyond which a shuffle does the join.
-BLOCK_SHINGLES, BROADCAST_ROWS = 1 << 18, 250_000
-#: Hashes of a part of the table that counts shingles, and repeated ones that may be broadcast (72 MB), else joined by a shuffle.
-TABLE_HASHES, BROADCAST_HASHES = 1_500_000, 8_000_000
+#: Shingles in a block of a family, and tokens that a task brings together, about.
+BLOCK_SHINGLES, TABLE_HASHES = 1 << 17, 1_500_000
+#: Cells of the count of shingles; a cell with CROWDED times the mean is common. Bits of the map of ids whose sets are searched.
+CELLS, CROWDED, ID_BITS = 1 << 20, 4, 1 << 26
+_PIECES, _RUN = 64, 1 << 14
 #: Weight of looking up against merging when the number of long lists is chosen; lookups are made for all candidates at once.
 _MU = 0.001
 
@@ -52,6 +57,17 @@ class Threshold:
     def links(self, a: int, b: int, shared: int) -> bool:
         return 100 * shared >= self.percent * (a + b - shared)
 
+    def differences(self, sizes: int) -> int:
+        """The most shingles that linked sets, whose sizes have this sum, don't share."""
+        return sizes * (100 - self.percent) // (100 + self.percent)
+
+    def ceiling(self, size: int) -> int:
+        """The largest size of the class of this size: each class reaches as far as its smallest size links."""
+        hi = 100 // self.percent
+        while hi < size:
+            hi = (hi + 1) * 100 // self.percent
+        return hi
+
 
 def node_of(shingles: np.ndarray) -> int:
     """A 64-bit name for a set."""
@@ -60,22 +76,29 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(both[:1] ^ (both[1:] * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)[0])
 
 
-def sampled(shingles: np.ndarray, t: Threshold) -> np.ndarray:
-    """Whether shingles belong to the sample that is counted: twice the share that a set's rarest ones make up."""
-    return (mix(shingles ^ np.uint64(0xA5A5A5A5)) >> np.uint64(40)) < np.uint64(min(1.0, 2 * (100 - t.percent) / 100) * (1 << 24))
+def cell_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def rarest(shingles: np.ndarray, t: Threshold, known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Of a set's n - T + 1 rarest shingles those that others may have; none if the set can't link. known: repeated ones, sorted."""
-    n = len(shingles) - t.overlap(len(shingles)) + 1
-    ours = sampled(shingles, t)
-    first = shingles[ours]
-    at = np.minimum(np.searchsorted(known, first), max(0, len(known) - 1))
-    number = np.where(known[at] == first, numbers[at], 1) if len(known) else np.ones(len(first), np.int64)
-    if (number == 1).sum() >= n:
-        return shingles[:0]
-    order = np.lexsort((first, number))[:n]
-    return np.concatenate([first[order][number[order] > 1], shingles[~ours][: max(0, n - len(first))]])
+def tokens_of(shingles: np.ndarray, t: Threshold, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a set must share one of with whatever it links to: those of its own class and those of the next."""
+    n, out = len(shingles), []
+    weight = ~common[cell_of(shingles)]
+    mixed = mix(shingles + np.uint64(0x51ED270B))
+    high = t.ceiling(n)
+    for top in (high, t.ceiling(high + 1)):
+        # Parts hold about 0.62 / (1 - share) shingles: more, and too few are left to choose from; less, and they say too little.
+        most = t.differences(2 * top)
+        parts = max(most + 1, top * (100 - t.percent) // 62)
+        part = ((mix(shingles ^ np.uint64(top * 7919 + 13)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        held = np.zeros(parts, np.uint64)
+        np.add.at(held, part, mixed)
+        uncommon = np.minimum(np.bincount(part, weights=weight, minlength=parts), 255).astype(np.uint64)
+        name = mix(held + mix(np.arange(parts, dtype=np.uint64) + np.uint64(top << 24)))
+        ranked = ((np.uint64(255) - uncommon) << np.uint64(56)) | (name >> np.uint64(8))
+        first = t.differences(n + min(top, 100 * n // t.percent))
+        out.append(np.partition(ranked, first)[: first + 1] if first + 1 < parts else ranked)
+    return tuple(mix(x + np.uint64(0x2545F491)) & ~np.uint64(0xFFFF) for x in out)
 
 
 class Forest:
@@ -159,145 +182,184 @@ def links_within(left: list[np.ndarray], right: list[np.ndarray] | None, t: Thre
     return out
 
 
-def _shingled(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles and node (null without words) of each row."""
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def kernel():
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(word_hashes(text.as_py()), size) for text in batch.column(1)]
-            return batch_of(schema, [batch.column(0), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
+def _shingled(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles and node (null without words) of each row; then, with a piece, each task's counts of its distinct sets by cell."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(CELLS, np.uint32), set()
+        for batch in batches:
+            sizes, nodes = [], []
+            for text in batch.column(1):
+                s = shingle_set(word_hashes(text.as_py()), size)
+                sizes.append(len(s))
+                nodes.append(node_of(s) if len(s) else None)
+                if len(s) and nodes[-1] not in seen:
+                    seen.add(nodes[-1])
+                    np.add.at(total, cell_of(s), 1)
+            yield batch_of(schema, [batch.column(0), sizes, nodes, [None] * len(sizes), [None] * len(sizes)])
+        if seen:
+            none = [None] * _PIECES
+            yield batch_of(schema, [none, none, none, list(range(_PIECES)), [pack(x) for x in total.reshape(_PIECES, -1)]])
 
-        return run
+    return _columns(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, piece int, counts binary")
 
-    return map_batches(_columns(docs), kernel, "doc_id long, n_shingles long, node long")
 
+def _common(sets: DataFrame, total: int) -> np.ndarray:
+    """Whether a cell is crowded: a bitmap of fixed size, its pieces added up apart."""
+    least = max(4, CROWDED * total // CELLS)
 
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        n = sum(unpack(x).astype(np.int64) for x in table["counts"].to_pylist())
+        return pa.table({"piece": table["piece"][:1], "flags": pa.array([np.packbits(n > least).tobytes()], pa.binary())})
 
+    out = np.zeros((_PIECES, CELLS // _PIECES), bool)
+    for r in sets.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(add, "piece int, flags binary").collect():
+        out[r["piece"]] = np.unpackbits(np.frombuffer(r["flags"], np.uint8)).astype(bool)
+    return out.reshape(-1)
 
-def _nodes(batch: pa.RecordBatch, size: int) -> dict[int, np.ndarray]:
-    """The distinct sets of a batch by node."""
-    found: dict[int, np.ndarray] = {}
-    for text in batch.column(1):
-        s = shingle_set(word_hashes(text.as_py()), size)
-        if len(s):
-            found.setdefault(node_of(s), s)
-    return found
 
+_PARTS = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
+_PARTS_SQL = "part int, run long, tokens binary, owners binary, nodes binary, sizes binary"
+NODES, EDGES = -1, -2
 
-def _repeated(docs: DataFrame, size: int, t: Threshold, bits: int) -> DataFrame:
-    """The sampled shingles that occur in several sets, with their numbers (255 for more), as sorted arrays by part of the hash space.
 
-    A batch sends its distinct shingles, sorted and delta-coded, with counts. Copies of a set in several batches count each; that only
-    makes the order coarser, as it is the same for all.
-    """
+def _met(tokens: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct edges from the least owner of each token to the others."""
+    order = np.lexsort((owners, tokens))
+    tokens, owners = tokens[order], owners[order]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    first = owners[np.maximum.accumulate(np.where(new, np.arange(len(owners)), 0))]
+    pairs = np.unique(np.stack([first[~new], owners[~new]], 1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pairs[:, 0], pairs[:, 1]
 
-    def kernel():
-        schema = pa.schema([("part", pa.int32()), ("shingles", pa.binary()), ("counts", pa.binary())])
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            sets = [s[sampled(s, t)] for s in _nodes(batch, size).values()]
-            if not sets:
-                return None
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            at = slices(h, bits)
-            parts = [(p, pack_sorted(h[a:b]), pack(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
-            return batch_of(schema, list(zip(*parts, strict=True))) if parts else None
+def _tokens(docs: DataFrame, size: int, t: Threshold, common: np.ndarray, bits: int) -> DataFrame:
+    """By part of the hash space, runs of sorted tokens with their owners; with part NODES the sets of a run, with EDGES what met in it.
 
-        return run
+    A run is some thousand rows. Its sets are numbered; an owner is a set's number twice, plus 1 for the next class. What a run's sets
+    share is settled there, and a token goes on once a run, so that no token is hot however many sets have it.
+    """
+    flags = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get(), 0
+        base = (task.partitionId() if task else 0) << 20
+        for batch in batches:
+            for at in range(0, batch.num_rows, _RUN):
+                found: dict[int, np.ndarray] = {}
+                tokens, owners, sizes = [], [], []
+                for text in batch.column(1).slice(at, _RUN):
+                    s = shingle_set(word_hashes(text.as_py()), size)
+                    if not len(s) or (node := node_of(s)) in found:
+                        continue
+                    found[node] = None
+                    sizes.append(len(s))
+                    for k, x in enumerate(tokens_of(s, t, flags.value)):
+                        tokens.append(x)
+                        owners.append(np.full(len(x), 2 * (len(found) - 1) + k, np.uint16))
+                name, made = base | made, made + 1
+                if not found:
+                    continue
+                tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+                a, b = _met(tokens, owners)
+                rows = [(NODES, name, None, None, pack(np.array(list(found), np.int64)), pack(np.array(sizes, np.int64)))]
+                if len(a):
+                    rows.append((EDGES, name, pack(a), pack(b), None, None))
+                order = np.lexsort((owners, tokens))
+                tokens, owners = tokens[order], owners[order]
+                once = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+                tokens, owners = tokens[once], owners[once]
+                edges = slices(tokens, bits)
+                rows += [(p, name, pack_sorted(tokens[x:y] >> np.uint64(16)), pack(owners[x:y]), None, None) for p, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
+                yield batch_of(_PARTS, list(zip(*rows, strict=True)))
+
+    return _columns(docs.where("doc_id IS NOT NULL")).mapInArrow(run, _PARTS_SQL)
+
+
+def _families(parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """family and node, of families of two nodes or more."""
+    edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        h, place = np.unique(np.concatenate([unpack_sorted(x) for x in table["shingles"].to_pylist()]), return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate([unpack(x) for x in table["counts"].to_pylist()]))
-        again = n > 1
-        return pa.table({"shingles": pa.array([pack_sorted(h[again])], pa.binary()), "numbers": pa.array([pack(np.minimum(n[again], 255).astype(np.uint8))], pa.binary()), "n": pa.array([int(again.sum())], pa.int64())})
-
-    return map_batches(_columns(docs.where("doc_id IS NOT NULL")), kernel, "part int, shingles binary, counts binary").groupBy("part").applyInArrow(meet, "shingles binary, numbers binary, n long")
-
-
-def _memberships(docs: DataFrame, repeated: DataFrame, size: int, t: Threshold, broadcast_hashes: int) -> DataFrame:
-    """(shingle, node): the rarest shingles of the sets that can link."""
-    docs = _columns(docs.where("doc_id IS NOT NULL"))
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64())])
-    if (repeated.agg(F.sum("n")).first()[0] or 0) <= broadcast_hashes:
-        rows = repeated.select("shingles", "numbers").collect()
-        h, n = (np.concatenate([np.zeros(0, kind), *(f(r[k]) for r in rows)]) for k, kind, f in (("shingles", np.uint64, unpack_sorted), ("numbers", np.uint8, unpack)))
-        order = np.argsort(h)
-        table = docs.sparkSession.sparkContext.broadcast((h[order], n[order]))
-
-        def kernel():
-            def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-                found = {node: r for node, s in _nodes(batch, size).items() if len(r := rarest(s, t, *table.value))}
-                if not found:
-                    return None
-                return batch_of(schema, [np.concatenate(list(found.values())).view(np.int64), np.repeat(np.array(list(found), np.int64), [len(r) for r in found.values()])])
+        tokens = np.concatenate([unpack_sorted(x) for x in table["tokens"].to_pylist()])
+        owners = np.concatenate([(np.int64(r) << 15) | unpack(x).astype(np.int64) for r, x in zip(table["run"].to_pylist(), table["owners"].to_pylist(), strict=True)])
+        a, b = _met(tokens, owners)
+        return pa.table({"a": a, "b": b}, schema=edge_schema)
 
-            return run
+    def inside():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            ends = [np.concatenate([(np.int64(r) << 15) | unpack(x).astype(np.int64) for r, x in zip(b.column(0).to_pylist(), b.column(c).to_pylist(), strict=True)]) for c in (1, 2)]
+            return batch_of(edge_schema, ends)
 
-        return map_batches(docs, kernel, "shingle long, node long")
+        return run
 
-    # Too many to broadcast: the numbers come to the shingles by a join, and each set's are put in order again.
-    def exploded():
-        kind = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("ours", pa.bool_())])
+    def named():
+        kind = pa.schema([("number", pa.int64()), ("node", pa.int64())])
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            found = _nodes(batch, size)
-            if not found:
-                return None
-            s = np.concatenate(list(found.values()))
-            return batch_of(kind, [np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()]), s.view(np.int64), sampled(s, t)])
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            lists = [unpack(x) for x in b.column(1).to_pylist()]
+            return batch_of(kind, [np.concatenate([(r << 14) + np.arange(len(x)) for r, x in zip(b.column(0).to_pylist(), lists, strict=True)]), np.concatenate(lists)])
 
         return run
 
-    def unpacked():
-        kind = pa.schema([("shingle", pa.int64()), ("number", pa.int32())])
-        return lambda b: batch_of(kind, [np.concatenate([unpack_sorted(x.as_py()) for x in b.column(0)]).view(np.int64), np.concatenate([unpack(x.as_py()) for x in b.column(1)]).astype(np.int32)])
+    apart = parts.where("part >= 0").select("part", "run", "tokens", "owners").groupBy("part").applyInArrow(meet, "a long, b long")
+    near = map_batches(parts.where(F.col("part") == EDGES).select("run", "tokens", "owners"), inside, "a long, b long")
+    met = components(apart.unionByName(near), scratch)
+    met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("family"), F.shiftright("node", 1).alias("number"))
+    names = map_batches(parts.where(F.col("part") == NODES).select("run", "nodes"), named, "number long, node long")
+    family = scratch.save(met.join(names, "number").select("family", "node").distinct(), "families")
+    several = family.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("family")
+    return family.join(several, "family")
 
-    numbers = map_batches(repeated.select("shingles", "numbers"), unpacked, "shingle long, number int")
-    rows = map_batches(docs, exploded, "node long, shingle long, ours boolean").distinct().join(numbers, "shingle", "left")
 
-    def pick(key: tuple, table: pa.Table) -> pa.Table:
-        s = np.sort(np.array(table["shingle"].to_pylist(), np.int64).view(np.uint64))
-        pairs = sorted((np.int64(x).view(np.uint64), n) for x, n in zip(table["shingle"].to_pylist(), table["number"].to_pylist(), strict=True) if n is not None)
-        r = rarest(s, t, np.array([x for x, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64))
-        return pa.table({"shingle": pa.array(r.view(np.int64), pa.int64()), "node": pa.array([key[0].as_py()] * len(r), pa.int64())})
+def _id_map(plan: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids: rows whose bit isn't set needn't be looked at. Each task gives the bytes that it sets."""
 
-    return rows.groupBy("node").applyInArrow(pick, "shingle long, node long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(_id_bit(batch.column(0).to_numpy()))
+            yield pa.record_batch({"piece": pa.array([0], pa.int32()), "bits": pa.array([pack_sorted(bits)], pa.binary())})
 
+    out = np.zeros(ID_BITS, bool)
+    for r in plan.select("doc_id").distinct().mapInArrow(run, "piece int, bits binary").toLocalIterator():
+        out[unpack_sorted(r["bits"]).astype(np.int64)] = True
+    return np.packbits(out)
 
-def _bounded(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+def _id_bit(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(ID_BITS - 1)
 
 
 def _links(docs: DataFrame, plan: DataFrame, size: int, t: Threshold) -> DataFrame:
     """Links (a, b) between nodes; plan: doc_id, node, family and blocks of one document for each node."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(plan, "doc_id")
-    out = pa.schema([("family", pa.int64()), ("blocks", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
+    wanted = docs.sparkSession.sparkContext.broadcast(_id_map(plan))
 
     def sets():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep, cells = [], []
-            for i, (text, node) in enumerate(zip(batch.column("text"), batch.column("node").to_pylist(), strict=True)):
-                s = shingle_set(word_hashes(text.as_py()), size)
-                if len(s) and node_of(s) == node:
-                    keep.append(i)
-                    cells.append(s.tobytes())
-            picked = batch.take(pa.array(keep, pa.int64()))
-            return batch_of(out, [picked.column("family"), picked.column("blocks"), picked.column("node"), cells])
+            ids = batch.column(0).to_numpy()
+            at = _id_bit(ids).astype(np.int64)
+            picked = np.flatnonzero((wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            cells = [(int(ids[i]), shingle_set(word_hashes(batch.column(1)[int(i)].as_py()), size)) for i in picked]
+            cells = [(i, node_of(s), pack_sorted(s)) for i, s in cells if len(s)]
+            return batch_of(out, list(zip(*cells, strict=True)) if cells else [[], [], []])
 
         return run
 
-    found = map_batches(rows.select("text", "node", "family", "blocks"), sets, "family long, blocks long, node long, shingles binary")
+    found = map_batches(_columns(docs.where("doc_id IS NOT NULL")), sets, "doc_id long, node long, shingles binary").dropDuplicates(["doc_id", "node"]).join(plan, ["doc_id", "node"])
     own = F.pmod("node", "blocks")
     dealt = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        by_node = {n: (o, np.frombuffer(s, np.uint64)) for n, o, s in zip(table["node"].to_pylist(), table["own"].to_pylist(), table["shingles"].to_pylist(), strict=True)}
+        by_node = {n: (o, unpack_sorted(s)) for n, o, s in zip(table["node"].to_pylist(), table["own"].to_pylist(), table["shingles"].to_pylist(), strict=True)}
         left = sorted(n for n, (o, _) in by_node.items() if o == i)
         right = None if i == j else sorted(n for n, (o, _) in by_node.items() if o == j)
         names = [*left, *(right or [])]
@@ -307,32 +369,31 @@ def _links(docs: DataFrame, plan: DataFrame, size: int, t: Threshold) -> DataFra
     return dealt.groupBy("family", "i", "j").applyInArrow(search, "a long, b long")
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, table_hashes: int = TABLE_HASHES) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``.
 
     A document's set: the distinct runs of ``size`` words, or its whole words as one run if there are fewer. Documents link when
     100 * intersection >= percent * union; component_id is the smallest id that links reach, the document's own included. Null and
-    empty texts, and such of blanks alone, have no shingles and link with nothing. Rows that repeat an id each give a row. Rows with a
-    null id link with nothing and have a null component_id. Other columns of ``docs`` are not read.
+    empty texts, and such of blanks alone, have no shingles and link with nothing. Very long texts are taken whole. Rows that repeat an
+    id each give a row and are one document as to links. Rows with a null id link with nothing and have a null component_id. An empty
+    table gives an empty one. There are no ties to break. Other columns of ``docs``, whatever their names, are not read.
     """
     t, scratch = Threshold(percent), Scratch(docs.sparkSession, "ngrams")
-    sets = scratch.save(_shingled(docs, size), "sets")
+    made = scratch.save(_shingled(docs, size), "sets")
+    sets = made.where("piece IS NULL").select("doc_id", "n_shingles", "node")
     known = sets.where("doc_id IS NOT NULL AND node IS NOT NULL")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max(2, math.ceil(math.log2(2 * total * (100 - percent) / 100 / TABLE_HASHES + 1)))
-    repeated = scratch.save(_repeated(docs, size, t, bits), "repeated")
-    parts = scratch.save(_memberships(docs, repeated, size, t, broadcast_hashes), "parts")
-    shared = scratch.save(parts.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where("first <> _last").select("shingle", "first"), "shared")
-    family = components(parts.join(_bounded(shared), "shingle").select("node", "first").distinct(), scratch)
-    scratch.drop(repeated, parts, shared)
-    family = scratch.save(family.unionByName(family.select(F.col("root").alias("node"), "root")).distinct(), "families")
-    one = known.join(_bounded(family), "node").groupBy("node", "root").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    bits = max(2, math.ceil(math.log2(5 * total * (100 - percent) / 200 / table_hashes + 1)))
+    parts = scratch.save(_tokens(docs, size, t, _common(made, total), bits), "tokens")
+    family = scratch.save(_families(parts, scratch), "near")
+    scratch.drop(parts)
+    one = known.join(family, "node").groupBy("family", "node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     one = scratch.save(one, "nodes")
-    blocks = one.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
-    plan = scratch.save(one.join(blocks, "root").select("doc_id", "node", F.col("root").alias("family"), "blocks"), "plan")
-    links = scratch.save(_links(docs, _bounded(plan), size, t), "links")
+    blocks = one.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
+    plan = scratch.save(one.join(blocks, "family").select("doc_id", "node", "family", "blocks"), "plan")
+    links = scratch.save(_links(docs, plan, size, t), "links")
     linked = components(links, scratch)
     scratch.drop(family, one, plan, links)
-    rooted = sets.select("doc_id", "n_shingles", "node").join(_bounded(linked), "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    rooted = sets.join(linked, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
     least = rooted.where("root IS NOT NULL AND doc_id IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id"))

@@ -38,7 +38,7 @@ def joined(rows, k, percent):
     return sorted((-1 if i is None else i, len(x), -1 if i is None else root(i)) for i, x in sets)
 
 
-@pytest.mark.parametrize(("k", "percent", "more"), [(5, 80, {}), (3, 90, {"broadcast_hashes": 0}), (5, 80, {"block_shingles": 1500}), (1, 50, {})])
+@pytest.mark.parametrize(("k", "percent", "more"), [(5, 80, {}), (3, 90, {"table_hashes": 20_000}), (5, 80, {"block_shingles": 1500}), (1, 50, {})])
 def test_join(spark, edge_docs, some_docs, k, percent, more):
     docs = edge_docs.select("doc_id", "text").union(some_docs.select(F.col("doc_id") + 100, "text")).cache()
     got = sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in ngram_join.join(docs, k, percent, **more).collect())
