@@ -283,7 +283,7 @@ def _tokens(docs: DataFrame, size: int, t: Threshold, common: np.ndarray, bits:
 
 
 def _families(parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """family and node, of families of two nodes or more."""
+    """family and node, of families of two nodes or more, not all of the next class's smaller neighbours, which meet in their own class."""
     edge_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
@@ -311,11 +311,11 @@ def _families(parts: DataFrame, scratch: Scratch) -> DataFrame:
     apart = parts.where("part >= 0").select("part", "run", "tokens", "owners").groupBy("part").applyInArrow(meet, "a long, b long")
     near = map_batches(parts.where(F.col("part") == EDGES).select("run", "tokens", "owners"), inside, "a long, b long")
     met = components(apart.unionByName(near), scratch)
-    met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("family"), F.shiftright("node", 1).alias("number"))
+    met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("family"), F.shiftright("node", 1).alias("number"), F.col("node").bitwiseAND(1).alias("smaller"))
     names = map_batches(parts.where(F.col("part") == NODES).select("run", "nodes"), named, "number long, node long")
-    family = scratch.save(met.join(names, "number").select("family", "node").distinct(), "families")
-    several = family.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("family")
-    return family.join(several, "family")
+    family = scratch.save(met.join(names, "number").groupBy("family", "node").agg(F.min("smaller").alias("smaller")), "families")
+    several = family.groupBy("family").agg(F.count(F.lit(1)).alias("_n"), F.min("smaller").alias("_all")).where("_n > 1 AND _all = 0").select("family")
+    return family.select("family", "node").join(several, "family")
 
 
 def _id_map(plan: DataFrame) -> np.ndarray:
