@@ -207,3 +207,62 @@ def test_pipeline_stages_take_edge_rows(spark, edge_docs, no_docs):
                 assert out.columns == docs.columns, name
             rows = out.cache() if name != "tokenize" else out
         rows.count()
+
+
+def test_near_copies_of_one_id(spark):
+    import corpus_pipeline
+
+    long, other = "one two three four five six seven eight nine ten", "a text that is about something else than numbers are"
+    rows = [(1, long, "x"), (1, long, "y"), (1, other, "x"), (2, long, "x"), (3, other + " too", "x"), (None, long, "x"), (None, long, "x"), (4, None, None), (4, "", None)]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, component_id string"), "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, long), (1, other), (0, long), (0, long), (4, ""), (4, "")])
+
+
+def test_pipeline_against_plain_python(spark):
+    """Kept ids and token digests of run() on the small table, by plain loops over the stages' definitions."""
+    import hashlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken.load
+
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet")
+    model = corpus_pipeline.langid.train(docs)
+    assert model.languages
+    rows = {r.doc_id: r.text for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    # Lines by the operator's SQL, which DuckDB runs on the rows that are left.
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": list(rows), "text": list(rows.values())}))
+    expected = {i: h for i, n, k, h in con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({corpus_pipeline.line_dedup.ORACLE})").fetchall()}
+    cut = corpus_pipeline.line_dedup_stage(spark, docs.where(F.col("doc_id").isin(list(rows))), "").collect()
+    assert all(expected[r.doc_id] == hashlib.sha256((r.text or "").encode()).hexdigest() for r in cut)
+    rows = {r.doc_id: r.text for r in cut}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for i, t in rows.items()}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    order = sorted(sets)
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((root(a), root(b)))
+                up[q] = p
+    rows = {i: t for i, t in rows.items() if root(i) == i}
+    bench = [r.text.lower().split() for r in spark.read.parquet(f"{TESTDATA}/sf0.001/benchmark.parquet").collect()]
+    verbatim = {i for i, t in rows.items() if any(f" {' '.join(w)} " in f" {' '.join(t.lower().split())} " for w in bench)}
+    encoding = tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    out = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, f"{TESTDATA}/sf0.001").collect()}
+    assert set(out) <= set(rows) - verbatim
+    # What else went holds most of an item's words.
+    for i in set(rows) - verbatim - set(out):
+        words = set(rows[i].lower().split())
+        assert any(len(set(w) & words) >= 0.6 * len(set(w)) for w in bench)
+    for i, digest in out.items():
+        assert digest == hashlib.sha256(" ".join(map(str, encoding.encode_ordinary(rows[i]))).encode()).hexdigest()
