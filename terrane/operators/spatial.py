@@ -36,16 +36,6 @@ def nearest_within(left: DataFrame, right: DataFrame, reach: float, lkey: str, l
     return pairs.groupBy(lkey).agg(F.min(F.struct(F.col("dist"), F.col(rkey))).alias("_best")).select(lkey, F.col(f"_best.{rkey}").alias(rkey), "_best.dist")
 
 
-def nearest_any(left: DataFrame, right: DataFrame, reaches: list[float], lkey: str, lpoint: tuple[str, str], rkey: str, rbox: tuple[str, str, str, str], distance: Column) -> DataFrame:
-    """Nearest shape by rings of growing reach; only points without a hit so far go on to the next."""
-    out, rest = None, left
-    for reach in reaches:
-        found = nearest_within(rest, right, reach, lkey, lpoint, rkey, rbox, distance)
-        out = found if out is None else out.unionByName(found)
-        rest = rest.join(found.select(lkey), lkey, "left_anti")
-    return out
-
-
 def best_overlap(pairs: DataFrame, lkey: str, rkey: str, amount: str) -> DataFrame:
     """For each left key the right key with the largest amount, the smaller key of equals."""
     best = F.max(F.struct(F.col(amount), (-F.col(rkey)).alias("_k"))).alias("_best")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import geometry as G
 from terrane.operators import spatial
 
-#: Metres: gaps in a row that are bridged and how far off its line; ends of rows that meet, at a tile's edge too; extension of open ends.
+#: Fixed values. Metres: gaps in a row that are bridged and how far off its line; ends of rows that meet, at a tile's edge too; extension of open ends.
 BRIDGE, BRIDGE_OFF, SEAM, EDGE_SEAM, SEAM_OFF, EXTEND = 15.0, 1.0, 2.0, 20.0, 1.2, 5.0
 #: Ends face one another below this cosine.
 FACING = -0.98
@@ -31,19 +31,27 @@ def bridges(pieces: DataFrame) -> DataFrame:
 
 
 def seams(ends: DataFrame) -> DataFrame:
-    """Pairs of row ends that meet: ends has end_id, row_id, x, y, ux, uy (outwards) and at_edge. Each pair once, of different rows."""
+    """Pairs of row ends that meet: ends has end_id, row_id, x, y, ux, uy (outwards) and at_edge. Each pair once, of different rows.
+
+    They face one another and lie ahead of one another (or touch), near one line; they are close, or farther apart and one is at an edge.
+    """
     other = ends.select(*(F.col(c).alias(f"o_{c}") for c in ends.columns))
     d = F.sqrt((F.col("x") - F.col("o_x")) ** 2 + (F.col("y") - F.col("o_y")) ** 2)
     pairs = spatial.distance_join(ends, other, EDGE_SEAM, ("x", "y"), ("o_x", "o_y", "o_x", "o_y"), d).where("row_id <> o_row_id AND end_id < o_end_id")
     off = F.abs((F.col("o_y") - F.col("y")) * F.col("ux") - (F.col("o_x") - F.col("x")) * F.col("uy"))
     facing = F.col("ux") * F.col("o_ux") + F.col("uy") * F.col("o_uy") < FACING
-    return pairs.where(facing & (off <= SEAM_OFF) & ((F.col("dist") <= SEAM) | (F.col("at_edge") & F.col("o_at_edge")))).select("end_id", F.col("o_end_id").alias("other_id"), "dist")
+    ahead = (F.col("o_x") - F.col("x")) * F.col("ux") + (F.col("o_y") - F.col("y")) * F.col("uy") > -1e-9
+    return pairs.where(facing & ahead & (off <= SEAM_OFF) & ((F.col("dist") <= SEAM) | F.col("at_edge") | F.col("o_at_edge"))).select("end_id", F.col("o_end_id").alias("other_id"), "dist")
 
 
-def extensions(ends: DataFrame, joined: DataFrame) -> DataFrame:
-    """Open ends at a tile's edge drawn out: end_id and a segment."""
+def extensions(ends: DataFrame, joined: DataFrame, bridged: DataFrame | None = None) -> DataFrame:
+    """Open ends at a tile's edge drawn out: end_id and a segment. Ends that a seam or a bridge (as from ``bridges``) starts or ends at aren't open."""
     met = joined.select("end_id").union(joined.select(F.col("other_id").alias("end_id"))).distinct()
-    return ends.where("at_edge").join(met, "end_id", "left_anti").select("end_id", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + EXTEND * F.col("ux")).alias("bx"), (F.col("y") + EXTEND * F.col("uy")).alias("by"))
+    open_ends = ends.where("at_edge").join(met, "end_id", "left_anti")
+    if bridged is not None:
+        taken = bridged.select("row_id", F.col("ax").alias("x"), F.col("ay").alias("y")).union(bridged.select("row_id", "bx", "by"))
+        open_ends = open_ends.join(taken, ["row_id", "x", "y"], "left_anti")
+    return open_ends.select("end_id", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + EXTEND * F.col("ux")).alias("bx"), (F.col("y") + EXTEND * F.col("uy")).alias("by"))
 
 
 def _apart(p: Column, q: Column, a: Column, b: Column) -> Column:
@@ -68,11 +76,24 @@ def anchors(targets: DataFrame, cells: DataFrame, reach: float, cheap: float = 2
     return near.groupBy("target_id").agg(F.min_by("cell_id", F.struct(price, F.col("cell_id"))).alias("cell_id"))
 
 
-def crossings(route: DataFrame, axes: DataFrame, size: float = 50.0) -> DataFrame:
-    """Crossings of a route's legs (leg, px, py, qx, qy) with row axes; two legs that meet on an axis cross it once."""
-    legs = route.withColumn("step_id", F.col("leg"))
+def crossings(route: DataFrame, axes: DataFrame, passages: DataFrame | None = None, size: float = 50.0, same: float = 0.01) -> DataFrame:
+    """Crossings of a route's legs (leg, px, py, qx, qy) with row axes (row_id, ax, ay, bx, by): row_id, leg, x and y.
+
+    Two legs that follow one another and meet on an axis cross it once, at their common point; where they cross it at different places,
+    twice. Crossings inside a passage's box (x0, y0, x1, y1) don't count.
+    """
     both = lambda df, x, y, u, v, k: df.select("*", F.least(x, u).alias(f"{k}0"), F.least(y, v).alias(f"{k}1"), F.greatest(x, u).alias(f"{k}2"), F.greatest(y, v).alias(f"{k}3"))
-    met = spatial.box_join(both(legs, "px", "py", "qx", "qy", "_s"), both(axes, "ax", "ay", "bx", "by", "_w"), size, ("_s0", "_s1", "_s2", "_s3"), ("_w0", "_w1", "_w2", "_w3"))
-    hits = met.where(~_apart(G.point("px", "py"), G.point("qx", "qy"), G.point("ax", "ay"), G.point("bx", "by"))).select("row_id", "leg")
-    before = F.lag("leg").over(Window.partitionBy("row_id").orderBy("leg"))
-    return hits.withColumn("_again", F.coalesce(F.col("leg") - before == 1, F.lit(False))).where("NOT _again").select("row_id", "leg")
+    met = spatial.box_join(both(route, "px", "py", "qx", "qy", "_s"), both(axes, "ax", "ay", "bx", "by", "_w"), size, ("_s0", "_s1", "_s2", "_s3"), ("_w0", "_w1", "_w2", "_w3"))
+    met = met.where(~_apart(G.point("px", "py"), G.point("qx", "qy"), G.point("ax", "ay"), G.point("bx", "by")))
+    side = lambda x, y: (F.col("bx") - F.col("ax")) * (F.col(y) - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col(x) - F.col("ax"))
+    t = F.coalesce(F.try_divide(side("px", "py"), side("px", "py") - side("qx", "qy")), F.lit(0.0))
+    hits = met.select("row_id", "leg", (F.col("px") + t * (F.col("qx") - F.col("px"))).alias("x"), (F.col("py") + t * (F.col("qy") - F.col("py"))).alias("y"))
+    if passages is not None:
+        boxes = passages.select(*(F.col(c).alias(f"_p{c}") for c in ("x0", "y0", "x1", "y1")))
+        points = hits.withColumns({"_hx": F.col("x"), "_hy": F.col("y")})
+        inside = spatial.box_join(points, boxes, size, ("x", "y", "_hx", "_hy"), ("_px0", "_py0", "_px1", "_py1")).select("row_id", "leg", "x", "y").distinct()
+        hits = hits.join(inside, ["row_id", "leg", "x", "y"], "left_anti")
+    before = Window.partitionBy("row_id").orderBy("leg", "x", "y")
+    near = F.hypot(F.col("x") - F.lag("x").over(before), F.col("y") - F.lag("y").over(before)) <= same
+    again = (F.col("leg") - F.lag("leg").over(before) == 1) & near
+    return hits.withColumn("_again", F.coalesce(again, F.lit(False))).where("NOT _again").select("row_id", "leg", "x", "y")

@@ -99,7 +99,7 @@ def q36_register_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["q36_register_mismatch"] = """WITH b AS (SELECT s_suppkey AS block, CAST(s_suppkey * 37 % 409 AS DOUBLE) AS x0, CAST(s_suppkey * 91 % 401 AS DOUBLE) AS y0, CAST(s_suppkey * 37 % 409 + 10 + s_suppkey % 7 AS DOUBLE) AS x1, CAST(s_suppkey * 91 % 401 + 8 + s_suppkey % 5 AS DOUBLE) AS y1, s_suppkey % 6 AS n_rows FROM supplier),
-p AS (SELECT p_partkey AS parcel, CAST(p_partkey % 20 * 21 AS DOUBLE) AS u0, CAST(p_partkey // 20 * 21 AS DOUBLE) AS v0, p_size % 5 <> 0 AS planted, p_size % 4 <> 1 AS authorised FROM part WHERE p_partkey < 400),
+p AS (SELECT p_partkey AS parcel, CAST(p_partkey % 20 * 21 AS DOUBLE) AS u0, CAST(p_partkey // 20 * 21 AS DOUBLE) AS v0, p_size % 5 <> 0 AS planted, p_size % 4 <> 1 AS authorised FROM part),
 m AS (SELECT block, parcel, planted, authorised, greatest(least(x1, u0 + 20) - greatest(x0, u0), 0) * greatest(least(y1, v0 + 20) - greatest(y0, v0), 0) AS shared FROM b JOIN p ON x0 <= u0 + 20 AND u0 <= x1 AND y0 <= v0 + 20 AND v0 <= y1),
 s AS (SELECT block, sum(CASE WHEN planted AND authorised THEN shared ELSE 0 END) AS valid, count(CASE WHEN NOT authorised THEN 1 END) AS un, count(CASE WHEN NOT planted THEN 1 END) AS other FROM m WHERE shared > 0 GROUP BY block),
 a AS (SELECT 'A' AS kind, b.block AS object, greatest((x1 - x0) * (y1 - y0) - coalesce(valid, 0), 0) AS area, (x1 - x0) * (y1 - y0) AS whole, CASE WHEN un IS NULL THEN 'no parcel' WHEN un > 0 THEN 'unauthorised parcel' WHEN other > 0 THEN 'other status' ELSE 'partly covered' END AS reason FROM b LEFT JOIN s USING (block) WHERE n_rows >= 2 AND (x1 - x0) * (y1 - y0) >= 90),

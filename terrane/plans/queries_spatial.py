@@ -120,7 +120,7 @@ def q18_convex_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A diamond of radius r less the four corners that stick out of a square of half width h.
-ORACLE["q18_convex_clip_area"] = f"WITH {_PTS}, g AS (SELECT c_custkey, 5.0 + c_custkey % 20 AS r, 1.0 + c_custkey % 17 AS h FROM pt WHERE c_custkey < 3000) SELECT c_custkey, round(CAST(CASE WHEN h >= r THEN 2 * r * r WHEN r >= 2 * h THEN 4 * h * h ELSE 2 * r * r - 4 * (r - h) * (r - h) END AS DOUBLE), 4) AS shared FROM g"
+ORACLE["q18_convex_clip_area"] = f"WITH {_PTS}, g AS (SELECT c_custkey, 5.0 + c_custkey % 20 AS r, 1.0 + c_custkey % 17 AS h FROM pt) SELECT c_custkey, round(CAST(CASE WHEN h >= r THEN 2 * r * r WHEN r >= 2 * h THEN 4 * h * h ELSE 2 * r * r - 4 * (r - h) * (r - h) END AS DOUBLE), 4) AS shared FROM g"
 
 
 def q19_polygon_area_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,14 +42,20 @@ def merge(exports: list[DataFrame]) -> DataFrame:
     return rows.join(versions.keep_largest(sizes, ["tile"], "n", "source").select("tile", "source"), ["tile", "source"])
 
 
+#: Fixed value: how far outside a tile a coordinate may be, in pixels. Only waste may be without a block.
+SLACK, MAY_BE_EMPTY = 0.5, (("waste", "vineyard_id"),)
+
+
 def violations(objects: DataFrame, width: float, height: float) -> DataFrame:
-    """tile, seq, type and what is wrong: label, shape, attributes, their values, coordinates outside the tile, too few points."""
+    """tile, seq, type and what is wrong: label, shape, attributes, empty or not allowed values, places outside the tile, too few points."""
     label, attrs = F.col("label"), F.col("attrs")
     known = F.create_map(*(F.lit(x) for k, v in LABELS.items() for x in (k, v[0])))
     names = F.create_map(*(x for k, v in LABELS.items() for x in (F.lit(k), F.array(*map(F.lit, v[1])))))
-    outside = F.exists("points", lambda p: (p["x"] < 0) | (p["y"] < 0) | (p["x"] > width) | (p["y"] > height))
+    outside = F.exists("points", lambda p: (p["x"] < -SLACK) | (p["y"] < -SLACK) | (p["x"] > width + SLACK) | (p["y"] > height + SLACK))
     least = F.when(F.col("type") == "polyline", 2).otherwise(3)
     bad_values = [F.when(attrs[k].isNotNull() & ~attrs[k].isin(*v), F.lit(f"{k} not allowed")) for k, v in ALLOWED.items()]
+    optional = lambda k: label.isin(*(kind for kind, name in MAY_BE_EMPTY if name == k)) if any(name == k for _, name in MAY_BE_EMPTY) else F.lit(False)
+    bad_values += [F.when((F.trim(attrs[k]) == "") & ~optional(k), F.lit(f"{k} empty")) for k in sorted({a for _, names in LABELS.values() for a in names})]
     found = F.array(
         F.when(known[label].isNull(), "unknown label"), F.when(known[label] != F.col("type"), "wrong shape"), F.when(F.size(F.array_except(names[label], F.map_keys(attrs))) > 0, "attribute missing"),
         F.when(F.size(F.array_except(F.map_keys(attrs), names[label])) > 0, "attribute unknown"), F.when(outside, "outside the tile"), F.when(F.size("points") < least, "too few points"), *bad_values,

@@ -91,6 +91,9 @@ def test_graph_kernels():
     assert graph.pull(9, lambda i, j: True) == [0, 8]
     assert graph.pull(9, lambda i, j: j == i + 1) == list(range(9))
     assert graph.pull(9, lambda i, j: not i < 4 < j) == [0, 4, 8]
+    items = {i: {s for s in range(6) if (i * 7 + s * 5) % 4 < 2} for i in range(30)}
+    chosen = graph.cover(items)
+    assert chosen.keys() == {i for i, s in items.items() if s} and all(s in items[i] for i, s in chosen.items())
     p = np.array([(0, 0), (0, 10), (10, 10), (10, 0), (5, 12)], float)
     d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
     order = graph.tour(d)

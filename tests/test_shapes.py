@@ -35,13 +35,21 @@ def test_walls(spark):
     f = lambda rows, s: spark.createDataFrame(rows, s)
     pieces = f([("r", 0.0, 0.0, 20.0, 0.0), ("r", 45.0, 0.3, 30.0, 0.2), ("r", 80.0, 0.0, 90.0, 0.0)], "row_id string, ax double, ay double, bx double, by double")
     assert [(b.ax, b.bx) for b in walls.bridges(pieces).collect()] == [(20.0, 30.0)]
-    ends = f([(1, "a", 19.8, 0.0, 1.0, 0.0, True), (2, "b", 31.0, 0.3, -1.0, 0.0, True), (3, "c", 19.7, 9.0, 1.0, 0.0, True), (4, "d", 19.7, 30.0, 1.0, 0.0, False)], "end_id int, row_id string, x double, y double, ux double, uy double, at_edge boolean")
+    ends = f([(1, "a", 19.8, 0.0, 1.0, 0.0, True), (2, "b", 31.0, 0.3, -1.0, 0.0, False), (3, "c", 19.7, 9.0, 1.0, 0.0, True), (4, "d", 19.7, 30.0, 1.0, 0.0, False)], "end_id int, row_id string, x double, y double, ux double, uy double, at_edge boolean")
     joined = walls.seams(ends)
     assert [(j.end_id, j.other_id) for j in joined.collect()] == [(1, 2)]
     assert [(e.end_id, e.bx) for e in walls.extensions(ends, joined).collect()] == [(3, 24.7)]
+    bridged = f([("c", 19.7, 9.0, 22.0, 9.0)], "row_id string, ax double, ay double, bx double, by double")
+    assert walls.extensions(ends, joined, bridged).count() == 0
+    behind = f([(1, "a", 10.0, 0.0, 1.0, 0.0, True), (2, "b", 5.0, 0.0, -1.0, 0.0, True)], "end_id int, row_id string, x double, y double, ux double, uy double, at_edge boolean")
+    assert walls.seams(behind).count() == 0
     steps = f([(1, 5.0, -1.0, 5.0, 1.0), (2, 5.0, 1.0, 5.0, 3.0)], "step_id int, px double, py double, qx double, qy double")
     assert [s.step_id for s in walls.cut_steps(steps, pieces.drop("row_id")).collect()] == [2]
     targets, cells = f([(7, 0.0, 0.0)], "target_id int, x double, y double"), f([(1, 1.0, 0.0, 20.0), (2, 3.0, 0.0, 1.0)], "cell_id int, cx_m double, cy_m double, cost double")
     assert walls.anchors(targets, cells, 10.0).first().cell_id == 2
     route = f([(1, 5.0, -3.0, 5.0, 0.0), (2, 5.0, 0.0, 5.0, 3.0), (5, 6.0, 3.0, 6.0, -3.0)], "leg int, px double, py double, qx double, qy double")
     assert sorted((c.row_id, c.leg) for c in walls.crossings(route, pieces).collect()) == [("r", 1), ("r", 5)]
+    zigzag = f([(1, 5.0, -3.0, 6.0, 3.0), (2, 6.0, 3.0, 9.0, -3.0)], "leg int, px double, py double, qx double, qy double")
+    assert walls.crossings(zigzag, pieces).count() == 2
+    passage = f([(5.0, -1.0, 6.0, 1.0)], "x0 double, y0 double, x1 double, y1 double")
+    assert [c.leg for c in walls.crossings(zigzag, pieces, passage).collect()] == [2]
