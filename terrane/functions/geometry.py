@@ -113,6 +113,13 @@ def interpolate(p: Column, share: Column) -> Column:
     return point(p[0]["x"] + share * (p[1]["x"] - p[0]["x"]), p[0]["y"] + share * (p[1]["y"] - p[0]["y"]))
 
 
+def nearest_point(p: Column, q: Column) -> Column:
+    """The point of a polyline nearest to q, on the first of several segments."""
+    feet = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), _next(p), lambda a, b: F.struct(segment_distance(q, a, b).alias("d"), (a["x"] + along(q, a, b) * (b["x"] - a["x"])).alias("x"), (a["y"] + along(q, a, b) * (b["y"] - a["y"])).alias("y")))
+    best = F.aggregate(feet, feet[0], lambda s, f: F.when(f["d"] < s["d"], f).otherwise(s))
+    return point(best["x"], best["y"])
+
+
 def project(p: Column, q: Column) -> Column:
     """The distance along a polyline of the place nearest to q, the first of several."""
     n = F.size(p)

@@ -87,3 +87,26 @@ def detected_status(measured_ha: Column, parcel_ha: Column, vegetation: Column,
 
 def minutes(metres: Column, km_per_hour: float = 4.0) -> Column:
     return metres / (km_per_hour * 1000 / 60)
+
+
+def target_value(kind: Column, gap: Column) -> Column:
+    """What a visit is worth: waste most, long gaps more than short ones."""
+    return F.when(kind == "waste", 10.0).when(F.coalesce(gap, F.lit(0.0)) >= 5, 3.0).otherwise(1.0)
+
+
+def application_state(status: Column, eligible: Column, requested: Column) -> Column:
+    """stage and decision of an application from its block's status and, once it is settled, the amounts."""
+    settled = eligible.isNotNull()
+    stage = F.when(settled & (eligible < requested), "decision").when(settled, "payment").when(status == "noncompliant", "evaluation").when(status == "review", "field check").otherwise("administrative check")
+    return F.struct(stage.alias("stage"), F.when(settled & (eligible < requested), status).when(settled, "approved").alias("decision"))
+
+
+def correction(n_old: Column, n_new: Column, turned: Column, second: Column, second_turned: Column, at_corner: Column) -> Column:
+    """What an annotator is to do about a tile, from the rows of two versions and their directions.
+
+    turned: the main directions differ and no second one agrees; second: the new version has a second direction; second_turned: none of
+    these is near the old one. Fixed values: half as many again and five more rows make a tile to be cleaned.
+    """
+    one_sided = F.when((n_old > 0) & (n_new == 0), F.when(at_corner, "check").otherwise("empty")).when((n_new > 0) & (n_old == 0), "add")
+    both = F.when(turned, "redo").when(second & second_turned, "second").when((2 * n_old >= 3 * n_new) & (n_old - n_new >= 5), "clean").otherwise("ok")
+    return F.coalesce(one_sided, F.when((n_old > 0) & (n_new > 0), both).otherwise("ok"))

@@ -59,3 +59,18 @@ def moving_mean(value: str, keys: list[str], order: list[str], before: int, afte
     """Centred mean over rows, of as many as there are; nulls don't count."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-before, after)
     return F.sum(value).over(w) / F.count(value).over(w)
+
+
+def planted_pieces(samples: DataFrame, row: str, order: str, value: str, least: float, half: int, bridge: int, shortest: int) -> DataFrame:
+    """Where along a row plants stand: row, piece (from 1), n, first and last sample.
+
+    Samples are smoothed over ``half`` on either side; those that reach ``least`` are planted. Empty stretches at the ends go, those
+    inside that are not shorter than ``bridge`` samples cut the row, and pieces below ``shortest`` samples go.
+    """
+    w = Window.partitionBy(row).orderBy(order)
+    marked = samples.select(row, F.row_number().over(w).alias("_i"), (moving_mean(value, [row], [order], half, half) >= least).alias("_good"))
+    along = Window.partitionBy(row).orderBy("_i")
+    good = marked.where("_good").withColumn("_new", F.when(F.col("_i") - F.lag("_i").over(along) <= bridge, 0).otherwise(1))
+    grouped = good.withColumn("_piece", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = grouped.groupBy(row, "_piece").agg(F.min("_i").alias("first"), F.max("_i").alias("last")).withColumn("n", F.col("last") - F.col("first") + 1).where(F.col("n") >= shortest)
+    return pieces.withColumn("piece", F.row_number().over(Window.partitionBy(row).orderBy("first"))).drop("_piece")

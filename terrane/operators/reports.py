@@ -90,3 +90,26 @@ def top_by_group(items: DataFrame, group: str, value: str, distance: str, key: s
     by_value, by_distance = (F.row_number().over(Window.partitionBy(group).orderBy(o, key)) for o in (F.desc(value), F.col(distance)))
     picked = items.withColumn("_v", by_value).withColumn("_d", by_distance).where("_v = 1 OR _d = 1")
     return picked.withColumn("pick", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("pick") <= most).drop("_v", "_d")
+
+
+def every_kth(rows: DataFrame, key: str, about: int) -> DataFrame:
+    """Every k-th row by key, so that ``about`` or up to twice as many are left; places come from counts of key ranges, not one big sort."""
+    n = rows.count()
+    k = max(1, n // about)
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy(key))
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    width = max(1, ((high or 0) - (low or 0)) // 1000 + 1)
+    binned = rows.withColumn("_bin", F.floor((F.col(key) - F.lit(low or 0)) / width))
+    sizes = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))  # a thousand rows
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return binned.withColumn("_r", place).join(F.broadcast(before), "_bin").where((F.col("_before") + F.col("_r") - 1) % k == 0).drop("_bin", "_r", "_before")
+
+
+def pair_consistency(sample: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """pairs of a sample, and the share of them that are alike in both columns or in none. From group sizes, without making the pairs."""
+    both = lambda n: (n * (n - 1) / 2).cast("long")
+    counted = sample.groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"))
+    alike = lambda *c: counted.groupBy(*c).agg(F.sum("_n").alias("_m")).agg(F.coalesce(F.sum(both(F.col("_m"))), F.lit(0)).alias("p"))
+    total = counted.agg(F.coalesce(both(F.sum("_n")), F.lit(0)).alias("pairs"))
+    sums = total.join(alike(a).withColumnRenamed("p", "_a")).join(alike(b).withColumnRenamed("p", "_b")).join(alike(a, b).withColumnRenamed("p", "_ab"))  # one row each
+    return sums.select("pairs", F.try_divide(F.col("pairs") - F.col("_a") - F.col("_b") + 2 * F.col("_ab"), F.col("pairs")).alias("consistent"))

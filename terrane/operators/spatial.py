@@ -40,3 +40,31 @@ def best_overlap(pairs: DataFrame, lkey: str, rkey: str, amount: str) -> DataFra
     """For each left key the right key with the largest amount, the smaller key of equals."""
     best = F.max(F.struct(F.col(amount), (-F.col(rkey)).alias("_k"))).alias("_best")
     return pairs.groupBy(lkey).agg(best).select(lkey, (-F.col("_best._k")).alias(rkey), F.col(f"_best.{amount}").alias(amount))
+
+
+def cells_of_centres(points: DataFrame, centres: DataFrame, group: str, key: str, point: tuple[str, str], centre_key: str, centre: tuple[str, str]) -> DataFrame:
+    """Each point's nearest centre of its group, the smaller key of equals: group, key, centre_key and dist. A group's centres are few."""
+    d = F.hypot(F.col(point[0]) - F.col(centre[0]), F.col(point[1]) - F.col(centre[1]))
+    near = points.join(centres, group).groupBy(group, key).agg(F.min(F.struct(d.alias("dist"), F.col(centre_key))).alias("_best"))
+    return near.select(group, key, f"_best.{centre_key}", "_best.dist")
+
+
+#: Fixed values of linking: degrees between pieces, and between those that touch; metres that touch; metres between pieces; off the line.
+TURN, TOUCH_TURN, TOUCH, GAP_LO, GAP_HI, OFF, OFF_SHARE = 6.0, 12.0, 1.5, -2.0, 60.0, 0.5, 0.02
+
+
+def link_candidates(pieces: DataFrame) -> DataFrame:
+    """Pairs (a, b) of row pieces of different tiles where b begins behind the end of a: gap along a's direction, off beside it.
+
+    pieces: seg, tile, ax, ay (begin), bx, by (end) and angle in degrees. Ends and beginnings meet in grid cells of the largest gap.
+    """
+    reach = GAP_HI - GAP_LO
+    end = pieces.select(F.col("seg").alias("a"), F.col("tile").alias("_ta"), F.col("angle").alias("_u"), F.col("bx").alias("_ex"), F.col("by").alias("_ey"))
+    begin = pieces.select(F.col("seg").alias("b"), F.col("tile").alias("_tb"), F.col("angle").alias("_v"), F.col("ax").alias("_sx"), F.col("ay").alias("_sy"))
+    dx, dy = F.col("_sx") - F.col("_ex"), F.col("_sy") - F.col("_ey")
+    pairs = distance_join(end, begin, reach * 2**0.5, ("_ex", "_ey"), ("_sx", "_sy", "_sx", "_sy"), F.sqrt(dx * dx + dy * dy)).where("_ta <> _tb")
+    ux, uy = F.cos(F.radians("_u")), F.sin(F.radians("_u"))
+    turn = F.pmod(F.abs(F.col("_u") - F.col("_v")), F.lit(180.0))
+    found = pairs.withColumns({"gap": dx * ux + dy * uy, "off": F.abs(dy * ux - dx * uy), "_turn": F.least(turn, 180.0 - turn)})
+    ok = (F.col("_turn") <= F.when(F.col("dist") < TOUCH, TOUCH_TURN).otherwise(TURN)) & F.col("gap").between(GAP_LO, GAP_HI) & (F.col("off") <= OFF + OFF_SHARE * F.greatest(F.col("gap"), F.lit(0.0)))
+    return found.where(ok).select("a", "b", "gap", "off")

@@ -52,3 +52,26 @@ def union_areas(rings: DataFrame, group: str, ring: str) -> DataFrame:
         return pd.DataFrame({group: [rows[group].iloc[0]], "area": [union_area([s for s in shapes if len(s) >= 3])]})
 
     return rings.select(group, ring).groupBy(group).applyInPandas(solve, f"{group} {dict(rings.dtypes)[group]}, area double")
+
+
+def shared_areas(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs without the rings a and b, with shared and apart: the area that two rings have in common and what of the first is outside the second.
+
+    Rings need not be convex. What two have in common is the sum of their areas less that of their union.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    def solve(batches):
+        for batch in batches:
+            shared, apart = [], []
+            for p, q in zip(batch[a], batch[b], strict=True):
+                p, q = (np.array([(v["x"], v["y"]) for v in r], float) for r in (p, q))
+                one, other = union_area([p]), union_area([q])
+                common = max(0.0, one + other - union_area([p, q]))
+                shared.append(common)
+                apart.append(one - common)
+            yield batch.drop(columns=[a, b]).assign(shared=shared, apart=apart)
+
+    kind = T.StructType([*(f for f in pairs.schema.fields if f.name not in (a, b)), T.StructField("shared", T.DoubleType()), T.StructField("apart", T.DoubleType())])
+    return pairs.select(*(F.col(c) for c in pairs.columns)).mapInPandas(solve, kind)

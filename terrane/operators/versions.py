@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import intervals
+
 
 def diff(old: DataFrame, new: DataFrame, key: str, count: str, amount: str, tolerance: float) -> DataFrame:
     """What changed for each key: added, removed, same (within the tolerance), moved, more or fewer."""
@@ -43,3 +45,18 @@ def reconcile(a: DataFrame, b: DataFrame, value: str, share: float) -> DataFrame
     """Whether two totals agree within a share of the second."""
     total = lambda df, name: df.agg(F.sum(value).alias(name))
     return total(a, "left_total").join(total(b, "right_total")).withColumn("ok", F.abs(F.col("left_total") - F.col("right_total")) <= share * F.greatest(F.abs("right_total"), F.lit(1e-9)))
+
+
+def symmetric_difference(old: DataFrame, new: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
+    """keys, old_m, new_m and changed_m: the length that one version has and the other lacks, by intervals (lo, hi) on an axis.
+
+    What one has alone is the union less the other. Pieces may stick out by the tolerance at either end before they count.
+    """
+    total = lambda df, name: intervals.merge(df.select(*keys, "lo", "hi"), keys).groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias(name))
+    wide = lambda df: df.select(*keys, (F.col("lo") - tolerance).alias("lo"), (F.col("hi") + tolerance).alias("hi"))
+    out = total(old, "old_m").join(total(new, "new_m"), keys, "full_outer")
+    for name, a, b in (("_gone", old, wide(new)), ("_come", new, wide(old))):
+        out = out.join(total(a.select(*keys, "lo", "hi").unionByName(b), "_both"), keys, "left").join(total(b, "_other"), keys, "left")
+        out = out.withColumn(name, F.coalesce("_both", F.lit(0.0)) - F.coalesce("_other", F.lit(0.0))).drop("_both", "_other")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return out.select(*keys, zero("old_m"), zero("new_m"), (F.col("_gone") + F.col("_come")).alias("changed_m"))
