@@ -2,23 +2,24 @@
 
 Which suffixes can tie at all is found first. Each window of ``length`` bytes is named by its anchor, the k-gram in it with the least
 hash; equal windows have the same anchor at the same place, so that only windows whose anchor occurs twice in the corpus go on. They are
-the suffixes to sort, dealt by anchor into blocks of bounded size.
+the suffixes to sort, dealt by anchor into blocks of bounded size; a context that a block holds twice is sorted once.
 
-A block is sorted one bucket of anchors at a time. Contexts are laid out so that anchors fall on multiples of the period v = 8. Suffixes
-that can tie then lie in the same residue class, so that the smallest cover, {0}, is a difference cover for them: every v-th position is
-a sample. Samples are ranked by prefix doubling over v-byte words up to the depth that windows need. A suffix's tie of any length is then
-resolved by the rank of its next sample, and the v bytes or fewer on either side of what the rank covers. Neighbours in the order that
-agree in all of it start with the same ``length`` bytes.
+The suffixes of a block are sorted one bucket at a time, a bucket being those that begin with a range of two-byte prefixes. Before, the
+difference-cover sample of the block is ranked: places that are 0, 1 or 3 modulo 7, by prefix doubling from 7 bytes to the depth that
+windows need. In a bucket suffixes are sorted by 7 bytes; those that tie are ordered by the sample: any two of them have places at the
+same distance, 6 bytes at most, that both are in it, so that each class modulo 7 is merged with each other one by ranks alone, however
+long the tie. Neighbours in the order are compared over ``length`` bytes; those that agree occur more than once.
 
 Texts are packed into chunks. A chunk asks the anchor tables how often each anchor occurs, sends the contexts of repeated ones to the
 blocks, and gets back a bit for each window. An anchor that occurs more than HOT times, whose contexts one block shouldn't hold, is split
-further by its windows: their hashes are counted in tables as the anchors were.
+further by its windows: their 64-bit hashes are counted in tables as the anchors were, and are what such windows are compared by.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from terrane.llm.katz import _slices, pack, pack_sorted, unpack, unpack_sorted
 from terrane.llm.store import Scratch
 from terrane.llm.text import _power_tables, map_batches, mix
 
-LENGTH, GRAM, PERIOD = 200, 40, 8
+LENGTH, GRAM = 200, 40
+#: A difference cover: of any two residues modulo PERIOD some equal shift brings both into COVER.
+PERIOD, COVER = 7, (0, 1, 3)
 #: Text bytes of a chunk, hashes of a part of a table, context bytes of a block and windows of a bucket, about; contexts of one anchor.
 CHUNK_BYTES, TABLE_HASHES, BLOCK_BYTES, BUCKET_WINDOWS, HOT = 4 << 20, 1_000_000, 4 << 20, 400_000, 10_000
 _STRIDE = 1 << 19
@@ -165,8 +168,8 @@ def _marks(told: pa.Table, kind: int, n: int) -> np.ndarray:
     return np.concatenate([unpack(m) for _, m in rows]) if rows else np.zeros(n, np.uint8)
 
 
-_SENT = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("anchors", pa.binary()), ("heads", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("data", pa.binary()), ("asked", pa.binary()), ("asked_counts", pa.binary())])
-_SENT_SQL = "chunk long, part int, anchors binary, heads binary, counts binary, starts binary, data binary, asked binary, asked_counts binary"
+_SENT = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("starts", pa.binary()), ("data", pa.binary()), ("asked", pa.binary()), ("asked_counts", pa.binary())])
+_SENT_SQL = "chunk long, part int, counts binary, starts binary, data binary, asked binary, asked_counts binary"
 
 
 def _contexts(length: int, k: int, bits: int, table_bits: int):
@@ -187,61 +190,117 @@ def _contexts(length: int, k: int, bits: int, table_bits: int):
                 here = chosen[a:b]
                 first, last = c.first[here], c.last[here]
                 data = b"".join([c.data[x:y] for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)])
-                rows.append((row["chunk"], p, pack_sorted(c.hash[here]), pack((c.place[here] - first).astype(np.uint8 if length <= 256 else np.uint32)), pack((last - first + 1).astype(np.uint32)), pack(first.astype(np.uint32)), zstandard.compress(data, 3), None, None))
+                rows.append((row["chunk"], p, pack((last - first + 1).astype(np.uint32)), pack(first.astype(np.uint32)), zstandard.compress(data, 3), None, None))
         if (mark == OFTEN).any():
             hashes, counts = np.unique(c.windows(np.flatnonzero(mark == OFTEN), length)[1], return_counts=True)
-            rows += [(chunk, -1 - p, None, None, None, None, None, h, n) for _, p, chunk, h, n in _asking(WINDOW, row["chunk"], hashes, counts, table_bits)]
+            rows += [(chunk, -1 - p, None, None, None, h, n) for _, p, chunk, h, n in _asking(WINDOW, row["chunk"], hashes, counts, table_bits)]
         return _table_of(rows, _SENT)
 
     return run
 
 
-def repeated_windows(data: np.ndarray, begin: np.ndarray, head: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
-    """For contexts in ``data`` (where each begins, how far its anchor is from there, its number of windows): which windows occur twice."""
+def _shift(r: int, q: int) -> int:
+    """The least distance at which places with these residues are both in the cover."""
+    return next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (q + d) % PERIOD in COVER)
+
+
+class Suffixes:
+    """A block's text with its first PERIOD bytes at each place as a number, and the ranks of the difference-cover sample."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        n = -(-(len(text) + length + 2 * PERIOD) // PERIOD) * PERIOD
+        padded = np.zeros(n + PERIOD, np.uint8)
+        padded[: len(text)] = text
+        self.length, self.word = length, np.zeros(n, np.uint64)
+        for i in range(PERIOD):
+            self.word <<= np.uint64(8)
+            self.word |= padded[i : i + n]
+        # Sample places by period and place in the cover: a step of whole periods is a step along the first axis.
+        sample = self.word.reshape(-1, PERIOD)[:, list(COVER)]
+        self.rank = np.unique(sample, return_inverse=True)[1].reshape(sample.shape)
+        depth = PERIOD
+        while depth < length and self.rank.max() + 1 < self.rank.size:
+            step = depth // PERIOD
+            later = np.zeros_like(self.rank)
+            later[:-step] = self.rank[step:] + 1
+            self.rank = np.unique((self.rank.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64), return_inverse=True)[1].reshape(sample.shape)
+            depth *= 2
+        self.column = np.full(PERIOD, -1)
+        self.column[list(COVER)] = range(len(COVER))
+
+    def rank_at(self, place: np.ndarray) -> np.ndarray:
+        return self.rank[place // PERIOD, self.column[place % PERIOD]]
+
+    def buckets(self, starts: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """Suffixes by ranges of two-byte prefixes, ``most`` at a time if one prefix doesn't have more."""
+        prefix = (self.word[starts] >> np.uint64(8 * PERIOD - 16)).astype(np.int64)
+        ends = np.cumsum(np.bincount(prefix, minlength=1 << 16))
+        at = 0
+        while at < 1 << 16:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            here = np.flatnonzero((prefix >= at) & (prefix < to))
+            if len(here):
+                yield here
+            at = to
+
+    def ordered(self, starts: np.ndarray) -> np.ndarray:
+        """The order of the suffixes that begin at some places, as far as ``length`` bytes decide it."""
+        key = self.word[starts]
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        tie = np.empty(len(starts), np.int64)
+        tie[order] = np.cumsum(new) - 1
+        size = np.bincount(tie)
+        open_ = np.flatnonzero(size[tie] > 1)
+        if not len(open_):
+            return order
+        # How many suffixes of the same tie are smaller: class by class, by the ranks at the shift that takes both classes to the cover.
+        group = np.unique(tie[open_], return_inverse=True)[1].astype(np.int64) << 32
+        place, smaller = starts[open_], np.zeros(len(open_), np.int64)
+        classes = [np.flatnonzero(place % PERIOD == r) for r in range(PERIOD)]
+        for r, mine in enumerate(classes):
+            for q, other in enumerate(classes):
+                if len(mine) and len(other):
+                    d = _shift(r, q)
+                    theirs = np.sort(group[other] | self.rank_at(place[other] + d))
+                    smaller[mine] += np.searchsorted(theirs, group[mine] | self.rank_at(place[mine] + d)) - np.searchsorted(theirs, group[mine])
+        within = np.zeros(len(starts), np.int64)
+        within[open_] = smaller
+        return np.lexsort((within, tie))
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of suffixes agree in ``length`` bytes."""
+        same = np.arange(len(a))
+        for at in [*range(0, self.length - PERIOD, PERIOD), self.length - PERIOD]:
+            same = same[self.word[a[same] + at] == self.word[b[same] + at]]
+        out = np.zeros(len(a), bool)
+        out[same] = True
+        return out
+
+
+def repeated_windows(data: bytes, count: np.ndarray, length: int, bucket_windows: int) -> np.ndarray:
+    """For contexts one after the other in ``data`` (each of its number of windows and the rest of the last one): which windows occur twice."""
     size = count + length - 1
-    # Lay the contexts out with anchors on multiples of the period.
-    lead = (-head) % PERIOD
-    room = -(-(lead + size + PERIOD) // PERIOD) * PERIOD
-    base = np.cumsum(room) - room + lead
-    text = np.zeros(int(room.sum()) + length + 2 * PERIOD, np.uint8)
-    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    text[np.repeat(base, size) + within] = data[np.repeat(begin, size) + within]
-    word = text[: len(text) // PERIOD * PERIOD].view(">u8").astype(np.uint64)
-    # Ranks of samples by their first 1, 2, 4 ... words; then by as many words as fit into every window.
-    words = (length - PERIOD) // PERIOD
-
-    def ranked(a: np.ndarray) -> np.ndarray:
-        return np.unique(a, return_inverse=True)[1].astype(np.uint64)
-
-    def joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-        return ranked((a << np.uint64(32)) | np.concatenate([b[by:], np.zeros(by, np.uint64)]))
-
-    powers, n = [ranked(word)], 1
-    while 2 * n <= words:
-        powers.append(joined(powers[-1], powers[-1], n))
-        n *= 2
-    rank, covered = powers[-1], n
-    for i in range(len(powers) - 2, -1, -1):
-        if covered + (1 << i) <= words:
-            rank, covered = joined(rank, powers[i], covered), covered + (1 << i)
-    # A window: the bytes up to its first sample, the sample's rank, the bytes after what that covers; PERIOD + the rest in all.
-    start = np.repeat(base, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    sample = -(-start // PERIOD)
-    before = sample * PERIOD - start
-    after = length - words * PERIOD - before
-    key = mix(rank[sample] * np.uint64(PERIOD) + before.astype(np.uint64))
-    edge = np.zeros(len(start), np.uint64)
-    pad = np.concatenate([text, np.zeros(length, np.uint8)])
-    for j in range(length - words * PERIOD):
-        byte = pad[np.where(j < before, start + j, start + words * PERIOD + j)]
-        edge = edge * np.uint64(257) + byte + np.uint64(1) if length - words * PERIOD > 8 else (edge << np.uint64(8)) | byte
-    del after
-    order = np.argsort(mix(key ^ mix(edge)))
-    same = (key[order][1:] == key[order][:-1]) & (edge[order][1:] == edge[order][:-1])
-    out = np.zeros(len(start), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    begin = np.cumsum(size) - size
+    # A context that is there twice repeats all its windows; the first one stands for it in the sort.
+    first: dict[bytes, int] = {}
+    stands = np.array([first.setdefault(data[a : a + n], i) for i, (a, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True))], np.int64)
+    times = np.bincount(stands, minlength=len(count))
+    kept = np.flatnonzero(times)
+    suffixes = Suffixes(np.frombuffer(b"".join(first), np.uint8), length)
+    base, n = np.cumsum(size[kept]) - size[kept], count[kept]
+    starts = np.repeat(base, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    flags = np.repeat(times[kept] > 1, n)
+    for here in suffixes.buckets(starts, bucket_windows):
+        order = here[suffixes.ordered(starts[here])]
+        same = suffixes.equal(starts[order[:-1]], starts[order[1:]])
+        flags[order[1:][same]] = True
+        flags[order[:-1][same]] = True
+    # Back to every context: those that another one stands for take its flags.
+    at = np.zeros(len(count), np.int64)
+    at[kept] = np.cumsum(n) - n
+    place = np.repeat(at[stands], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return flags[place]
 
 
 _FOUND = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("starts", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
@@ -250,34 +309,12 @@ _FOUND_SQL = "chunk long, part int, starts binary, counts binary, bits binary"
 
 def _sorted_block(length: int, bucket_windows: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """A block, one bucket of anchors at a time."""
+        """A block: its contexts' windows that occur twice, for each chunk."""
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        name = np.concatenate([unpack_sorted(r["anchors"]) for r in rows])
-        head = np.concatenate([unpack(r["heads"]) for r in rows]).astype(np.int64)
-        count = np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64)
-        data = np.frombuffer(b"".join(zstandard.decompress(r["data"]) for r in rows), np.uint8)
-        size = count + length - 1
-        begin = np.cumsum(size) - size
-        first_window = np.cumsum(count) - count
-        flags = np.zeros(int(count.sum()), bool)
-        order = np.argsort(name, kind="stable")
-        new = np.flatnonzero(np.diff(name[order], prepend=~name[order][:1]) != 0)
-        done = np.cumsum(count[order])
-        at = 0
-        while at < len(order):  # to the last anchor that fills the bucket, one at least
-            full = int(np.searchsorted(done, (done[at - 1] if at else 0) + bucket_windows, "right"))
-            to = new[np.searchsorted(new, full, "right") - 1] if full < len(order) else len(order)
-            if to <= at:
-                later = new[new > at]
-                to = later[0] if len(later) else len(order)
-            here = order[at:to]
-            n = count[here]
-            place = np.repeat(first_window[here], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            flags[place] = repeated_windows(data, begin[here], head[here], n, length)
-            at = to
+        count = [unpack(r["counts"]).astype(np.int64) for r in rows]
+        flags = repeated_windows(b"".join(zstandard.decompress(r["data"]) for r in rows), np.concatenate(count), length, bucket_windows)
         out, k = [], 0
-        for r in rows:
-            own = unpack(r["counts"])
+        for r, own in zip(rows, count, strict=True):
             m = int(own.sum())
             out.append((r["chunk"], key[0].as_py(), r["starts"], r["counts"], zstandard.compress(np.packbits(flags[k : k + m]).tobytes())))
             k += m
@@ -337,10 +374,11 @@ def remove_repeats(docs: DataFrame, outputs: tuple[str, ...] = ("n_removed", "sp
     that also starts anywhere else in the corpus, the same text included.
 
     Matches don't cross texts and are judged on the input. Null texts count as empty ones; texts shorter than ``length`` stay whole.
-    Repeated rows are each a text, so that copies of ``length`` bytes or more lose all. Null ids stay null; other columns are not read.
-    spans and kept are in bytes; kept may cut a character.
+    Repeated rows are each a text, so that copies of ``length`` bytes or more lose all. Very long texts are taken whole. Null ids stay
+    null; an empty table gives an empty one; there are no ties to break. Other columns, whatever their names, are not read. spans and
+    kept are in bytes; kept may cut a character.
     """
-    if length < gram + PERIOD or (length - PERIOD) // PERIOD < 1:
+    if length < gram + PERIOD:
         raise ValueError("length must exceed the gram by a period")
     scratch = Scratch(docs.sparkSession, "suffixes")
     names = [o for o in OUTPUTS if o in outputs]

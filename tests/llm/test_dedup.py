@@ -87,6 +87,23 @@ def test_suffixes(spark, edge_docs, some_docs, length, more):
     assert got == cut([(i, (t or "").encode()) for i, t in docs.collect()], length)
 
 
+@pytest.mark.parametrize(("length", "bucket"), [(20, 7), (33, 50), (64, 10_000)])
+def test_suffix_order_is_that_of_plain_sorting(length, bucket):
+    rng = np.random.default_rng(length)
+    part = rng.integers(97, 100, 300).astype(np.uint8)
+    text = np.concatenate([part, rng.integers(97, 99, 150).astype(np.uint8), part[:120], np.full(90, 97, np.uint8), part[37:250]])
+    s = suffix_dedup.Suffixes(text, length)
+    data, starts = text.tobytes(), np.arange(len(text) - length + 1)
+    done = []
+    for here in s.buckets(starts, bucket):
+        order = here[s.ordered(starts[here])]
+        done += [data[i : i + length] for i in starts[order]]
+        same = s.equal(starts[order[:-1]], starts[order[1:]])
+        assert [x == y for x, y in zip(done[len(done) - len(order) :], done[len(done) - len(order) + 1 :], strict=False)] == same.tolist()
+    assert done == sorted(data[i : i + length] for i in starts)
+    assert all((r + suffix_dedup._shift(r, q)) % 7 in suffix_dedup.COVER and (q + suffix_dedup._shift(r, q)) % 7 in suffix_dedup.COVER for r in range(7) for q in range(7))
+
+
 def test_suffix_outputs(edge_docs, no_docs):
     rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(edge_docs.where("doc_id IN (9, 10, 3)"), ("n_bytes", "n_removed", "spans", "kept")).collect()}
     assert rows[10].n_removed == 250_000 and [tuple(s) for s in rows[10].spans] == [(0, 250_000)] and bytes(rows[10].kept) == b""
