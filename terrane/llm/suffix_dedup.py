@@ -36,7 +36,7 @@ LENGTH, GRAM = 200, 40
 #: A difference cover: of any two residues modulo PERIOD some equal shift brings both into COVER.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Text bytes of a chunk, hashes of a part of a table, context bytes of a block and windows of a bucket, about; contexts of one anchor.
-CHUNK_BYTES, TABLE_HASHES, BLOCK_BYTES, BUCKET_WINDOWS, HOT = 4 << 20, 1_000_000, 4 << 20, 400_000, 10_000
+CHUNK_BYTES, TABLE_HASHES, BLOCK_BYTES, BUCKET_WINDOWS, HOT = 4 << 20, 1_000_000, 1 << 20, 100_000, 4_000
 _STRIDE = 1 << 19
 UNIQUE, REPEATED, OFTEN = 0, 1, 2
 ANCHOR, WINDOW = 0, 1
@@ -204,6 +204,17 @@ def _shift(r: int, q: int) -> int:
     return next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (q + d) % PERIOD in COVER)
 
 
+def _ranked(a: np.ndarray) -> np.ndarray:
+    """The place of each number among the distinct ones."""
+    flat = a.reshape(-1)
+    order = np.argsort(flat)
+    new = np.ones(len(flat), bool)
+    np.not_equal(flat[order[1:]], flat[order[:-1]], out=new[1:])
+    out = np.empty(len(flat), np.uint32)
+    out[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return out.reshape(a.shape)
+
+
 class Suffixes:
     """A block's text with its first PERIOD bytes at each place as a number, and the ranks of the difference-cover sample."""
 
@@ -217,19 +228,19 @@ class Suffixes:
             self.word |= padded[i : i + n]
         # Sample places by period and place in the cover: a step of whole periods is a step along the first axis.
         sample = self.word.reshape(-1, PERIOD)[:, list(COVER)]
-        self.rank = np.unique(sample, return_inverse=True)[1].reshape(sample.shape)
+        self.rank = _ranked(sample)
         depth = PERIOD
         while depth < length and self.rank.max() + 1 < self.rank.size:
             step = depth // PERIOD
-            later = np.zeros_like(self.rank)
-            later[:-step] = self.rank[step:] + 1
-            self.rank = np.unique((self.rank.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64), return_inverse=True)[1].reshape(sample.shape)
+            pair = self.rank.astype(np.uint64) << np.uint64(32)
+            pair[:-step] |= self.rank[step:] + np.uint32(1)
+            self.rank = _ranked(pair)
             depth *= 2
         self.column = np.full(PERIOD, -1)
         self.column[list(COVER)] = range(len(COVER))
 
     def rank_at(self, place: np.ndarray) -> np.ndarray:
-        return self.rank[place // PERIOD, self.column[place % PERIOD]]
+        return self.rank[place // PERIOD, self.column[place % PERIOD]].astype(np.int64)
 
     def buckets(self, starts: np.ndarray, most: int) -> Iterator[np.ndarray]:
         """Suffixes by ranges of two-byte prefixes, ``most`` at a time if one prefix doesn't have more."""
