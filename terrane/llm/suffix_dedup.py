@@ -269,12 +269,21 @@ class Suffixes:
         group = np.unique(tie[open_], return_inverse=True)[1].astype(np.int64) << 32
         place, smaller = starts[open_], np.zeros(len(open_), np.int64)
         classes = [np.flatnonzero(place % PERIOD == r) for r in range(PERIOD)]
-        for r, mine in enumerate(classes):
-            for q, other in enumerate(classes):
-                if len(mine) and len(other):
-                    d = _shift(r, q)
-                    theirs = np.sort(group[other] | self.rank_at(place[other] + d))
-                    smaller[mine] += np.searchsorted(theirs, group[mine] | self.rank_at(place[mine] + d)) - np.searchsorted(theirs, group[mine])
+        keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+        def sorted_keys(r: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+            """The suffixes of a class by tie and rank at a shift, and the order they are in there."""
+            if (r, d) not in keys:
+                key = group[classes[r]] | self.rank_at(place[classes[r]] + d)
+                turn = np.argsort(key)
+                keys[r, d] = key[turn], classes[r][turn]
+            return keys[r, d]
+
+        for r in range(PERIOD):
+            for q in range(PERIOD):
+                if len(classes[r]) and len(classes[q]):
+                    (mine, at), (theirs, _) = (sorted_keys(c, _shift(r, q)) for c in (r, q))
+                    smaller[at] += np.searchsorted(theirs, mine) - np.searchsorted(theirs, mine >> 32 << 32)
         within = np.zeros(len(starts), np.int64)
         within[open_] = smaller
         return np.lexsort((within, tie))
