@@ -28,11 +28,14 @@ def row_structure(canopies: DataFrame, keys: list[str], row_length: float) -> Da
 def block_report(canopies: DataFrame, row_length: float, min_gap: float) -> DataFrame:
     """One line for each block: rows, disrupted ones, status, covered length, gaps and missing vines."""
     keys = ["vineyard_id", "row_id"]
-    covered = intervals.merge(canopies, keys).groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("_covered"))
-    rows = row_structure(canopies, keys, row_length).join(covered, keys)
-    block = rows.groupBy("vineyard_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("structure") == "disrupted").alias("disrupted_rows"), F.round(F.sum("_covered"), 3).alias("row_length_m"))
-    found = intervals.gaps(canopies, keys, min_gap).groupBy("vineyard_id").agg(F.count(F.lit(1)).alias("n_gaps"), F.round(F.sum("gap"), 1).alias("gap_length_m"))
-    out = block.join(found, "vineyard_id", "left").fillna({"n_gaps": 0, "gap_length_m": 0.0})
+    # Merged once; what follows an interval gives the gaps, the longest of them and the covered length at once.
+    merged = intervals.merge(canopies, keys).withColumn("_gap", F.lead("lo").over(Window.partitionBy(*keys).orderBy("lo")) - F.col("hi"))
+    long = F.col("_gap") >= min_gap
+    longest = F.greatest(F.coalesce(F.max("_gap"), F.lit(0.0)), F.min("lo"), row_length - F.max("hi"), F.lit(0.0))
+    rows = merged.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("_covered"), longest.alias("_longest"), F.count_if(long).alias("_gaps"), F.sum(F.when(long, F.col("_gap")).otherwise(0.0)).alias("_gap_m"))
+    out = rows.groupBy("vineyard_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(S.structure(F.col("_longest")) == "disrupted").alias("disrupted_rows"), F.round(F.sum("_covered"), 3).alias("row_length_m"), F.sum("_gaps").alias("n_gaps"), F.round(F.sum("_gap_m"), 1).alias("gap_length_m")
+    )
     part = S.share(F.col("disrupted_rows"), F.col("n_rows"))
     return out.select("vineyard_id", "n_rows", "disrupted_rows", F.round(part, 3).alias("disrupted_share"), S.block_status(part).alias("status"), "row_length_m", "n_gaps", "gap_length_m", S.missing_vines(F.col("gap_length_m")).alias("missing_vines"))
 

@@ -22,17 +22,24 @@ def box_join(left: DataFrame, right: DataFrame, size: float, lbox: tuple[str, st
     return a.join(b, ["cx", "cy"]).where(once & touch).drop("cx", "cy", "_ax", "_ay", "_bx", "_by")
 
 
-def distance_join(left: DataFrame, right: DataFrame, reach: float, lpoint: tuple[str, str], rbox: tuple[str, str, str, str], distance: Column) -> DataFrame:
-    """Pairs of a point and a shape within ``reach``, with dist. The point is in one cell, the shape's box in those it reaches."""
-    a = left.withColumn("cx", F.floor(F.col(lpoint[0]) / reach)).withColumn("cy", F.floor(F.col(lpoint[1]) / reach))
+def distance_join(left: DataFrame, right: DataFrame, reach: float, lpoint: tuple[str, str], rbox: tuple[str, str, str, str], distance: Column, size: float | None = None) -> DataFrame:
+    """Pairs of a point and a shape within ``reach``, with dist. The point is in one cell, the shape's box in those it reaches.
+
+    ``size`` is that of the cells, the reach itself if not given; for shapes that are larger, about theirs.
+    """
+    size = size or reach
+    a = left.withColumn("cx", F.floor(F.col(lpoint[0]) / size)).withColumn("cy", F.floor(F.col(lpoint[1]) / size))
     x0, y0, x1, y1 = map(F.col, rbox)
-    b = cells(right, reach, x0 - reach, y0 - reach, x1 + reach, y1 + reach).drop("_fx", "_fy")
-    return a.join(b, ["cx", "cy"]).withColumn("dist", distance).where(F.col("dist") <= reach).drop("cx", "cy")
+    b = cells(right, size, x0 - reach, y0 - reach, x1 + reach, y1 + reach).drop("_fx", "_fy")
+    # The box is looked at first, as the distance costs more.
+    px, py = F.col(lpoint[0]), F.col(lpoint[1])
+    near = a.join(b, ["cx", "cy"]).where((px >= x0 - reach) & (px <= x1 + reach) & (py >= y0 - reach) & (py <= y1 + reach))
+    return near.withColumn("dist", distance).where(F.col("dist") <= reach).drop("cx", "cy")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, reach: float, lkey: str, lpoint: tuple[str, str], rkey: str, rbox: tuple[str, str, str, str], distance: Column) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, reach: float, lkey: str, lpoint: tuple[str, str], rkey: str, rbox: tuple[str, str, str, str], distance: Column, size: float | None = None) -> DataFrame:
     """For each point that has any shape within reach the nearest one, the smaller key of equals: lkey, rkey, dist."""
-    pairs = distance_join(left, right, reach, lpoint, rbox, distance)
+    pairs = distance_join(left, right, reach, lpoint, rbox, distance, size)
     return pairs.groupBy(lkey).agg(F.min(F.struct(F.col("dist"), F.col(rkey))).alias("_best")).select(lkey, F.col(f"_best.{rkey}").alias(rkey), "_best.dist")
 
 
