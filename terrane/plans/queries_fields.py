@@ -300,7 +300,7 @@ def q67_general_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = s.select("s_suppkey", G.line(c(0, 0), c(40, 0), c(40, 12), c(15, 12), c(15, 45), c(0, 45)).alias("shape"), F.col("sx").alias("bx0"), F.col("sy").alias("by0"), (F.col("sx") + 40).alias("bx1"), (F.col("sy") + 45).alias("by1"))
     met = spatial.box_join(_strips(spark, sf_dir), shapes, 50.0, _STRIP, ("bx0", "by0", "bx1", "by1"))
     pairs = met.select("c_custkey", "s_suppkey", G.box(*map(F.col, _STRIP)).alias("strip"), "shape")
-    found = union_area.shared_areas(pairs, "strip", "shape").where("shared > 1e-6")
+    found = union_area.shared_areas(pairs.repartition("c_custkey", "s_suppkey"), "strip", "shape").where("shared > 1e-6")
     return found.select("c_custkey", "s_suppkey", F.round("shared", 4).alias("shared"), F.round("apart", 4).alias("apart"))
 
 
