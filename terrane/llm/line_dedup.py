@@ -85,6 +85,9 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     are the same document; of the smallest document, all lines stay. Other columns pass through, columns named n_lines or n_dropped
     are replaced.
     """
+    # Columns with the names used here are called otherwise meanwhile.
+    held = {c: f"held {c}" for c in docs.columns if c in ("_gone", "_doc", "_tid", "_text_id")}
+    docs = docs.withColumnsRenamed(held)
     scratch = Scratch(docs.sparkSession, "lines")
     gone = dropped_lines(docs, scratch, min_docs).groupBy("doc_id", "text_id").agg(F.collect_set("pos").alias("_gone"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("_text_id", F.xxhash64("text"))
@@ -94,7 +97,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     columns = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in rows.columns if c != "_text_id"]
     n = F.coalesce(F.size(lines), F.lit(0))
-    return out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_dropped"))
+    done = out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_dropped"))
+    return done.withColumnsRenamed({v: k for k, v in held.items()})
 
 
 #: The same in DuckDB, for doc_id, n_lines, n_dropped and kept_sha256.

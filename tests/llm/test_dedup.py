@@ -155,3 +155,12 @@ def test_lines_run_no_python(some_docs):
 def test_edge_rows_survive(edge_docs):
     out = line_dedup.drop_lines(edge_docs)
     assert out.count() == edge_docs.count() and set(out.columns) == {*edge_docs.columns, "n_dropped"}
+
+
+def test_lines_with_clashing_columns(spark):
+    rows = [(i, f"a line that is in all of them\nand one of its own {chr(97 + i) * 5} here", i, "x", "y", i) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _doc string, _tid string, _text_id int")
+    got = line_dedup.drop_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+    plain = {r.doc_id: r.text for r in line_dedup.drop_lines(docs.select("doc_id", "text")).collect()}
+    assert {r.doc_id: (r.text, r["_gone"], r["_text_id"]) for r in got.collect()} == {i: (t, i, i) for i, t in plain.items()}
