@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 
 
 def q23_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites within 45 of one another, transitively."""
+    """Sites within 60 of one another, transitively."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 6151 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 3571 % 997).cast("double").alias("y"))
     from terrane.operators import spatial
 
