@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.sample import of_each
 from terrane.llm.text import batch_of, map_batches
 
 #: n-grams are hashed to this many cells; presence in a cell is a feature.
@@ -91,28 +92,24 @@ def fit(sets: list[np.ndarray], languages: list[str]) -> Model:
     return Model(names, slot, (landmark.T @ (root @ beta)).astype(np.float32))
 
 
-def sample_of(docs: DataFrame, label: str, total: int, each: int) -> DataFrame:
-    """A bounded sample of the rows with a label: the same number of each label, by hash of id. Only ids are ranked and shuffled.
-
-    Of many labels, the commonest share the total."""
-    labels = docs.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(total).collect()
-    n = max(1, min(each, total // max(1, len(labels))))
-    rank = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = docs.where(F.col(label).isin([r[0] for r in labels])).select(label, "doc_id").distinct().withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= n).select("doc_id")
-    return docs.join(F.broadcast(picked.limit(total).distinct()), "doc_id", "left_semi")  # at most `total` ids
-
-
 def train(docs: DataFrame) -> Model:
-    """A model from the doc_id, text and lang of ``docs``; rows without lang or id are left out. The sample's n-grams meet on the driver."""
-    rows = sample_of(docs.select("doc_id", "text", "lang"), "lang", SAMPLE, SAMPLE_EACH).select("doc_id", "lang", "text")
+    """A model from the doc_id, text and lang of ``docs``; rows without lang or id are left out.
+
+    It is fitted on SAMPLE ids at most, as many of each language, SAMPLE_EACH at most; of more than SAMPLE languages on the commonest.
+    Of rows that repeat an id and a language one counts. The sample's n-grams meet on the driver.
+    """
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()
+    picked = of_each(known, "lang", [tuple(r) for r in sizes], max(1, min(SAMPLE_EACH, SAMPLE // max(1, len(sizes)))))
+    rows = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")  # at most SAMPLE ids
     schema = pa.schema([("doc_id", pa.string()), ("lang", pa.string()), ("cells", pa.binary())])
 
     def kernel():
-        return lambda b: batch_of(schema, [b.column(0).cast(pa.string()), b.column(1), [present(x.as_py()).astype(np.int32).tobytes() for x in b.column(2)]])
+        return lambda b: batch_of(schema, [b.column(0), b.column(1), [present(x.as_py()).astype(np.int32).tobytes() for x in b.column(2)]])
 
-    found = map_batches(rows, kernel, "doc_id string, lang string, cells binary").collect()
-    found = sorted((r for r in found if len(r.cells)), key=lambda r: (r.lang, r.doc_id, r.cells))[: 2 * SAMPLE]
-    return fit([np.frombuffer(r.cells, np.int32) for r in found], [r.lang for r in found])
+    cells = map_batches(rows, kernel, "doc_id string, lang string, cells binary").where(F.length("cells") > 0)
+    found = sorted(tuple(r) for r in cells.groupBy("lang", "doc_id").agg(F.min("cells")).collect())
+    return fit([np.frombuffer(c, np.int32) for _, _, c in found], [lang for lang, _, _ in found])
 
 
 def confidence(scores: np.ndarray) -> np.ndarray:
