@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -32,7 +33,11 @@ _DIGIT_WORDS = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
 DIGITS = {w: str(i) for line in _DIGIT_WORDS for i, w in enumerate(line.split())}
-_DOUBLES = dict(zip(_LOOK_ALIKE, _LATIN, strict=True))
+# Full stops of East Asian texts, which compatibility forms leave as they are.
+_STOPS = "。｡"
+# First labels of mail hosts that many people use.
+_MAIL_HOSTS = "gmail googlemail yahoo hotmail outlook icloud aol protonmail proton gmx mail yandex live msn"
+_DOUBLES = dict(zip(_LOOK_ALIKE, _LATIN, strict=True)) | dict.fromkeys(_STOPS, ".")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,7 +46,7 @@ _GROUPED = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-_ODD = re.compile("[^\x00-\xac\xae-ɏ]")
+_ODD = re.compile("[^\x00-\x9f\xa1-\xac\xae-ɏ]")
 _AT = r"(?:at|arroba|arobase)"
 _DOT = r"(?:dot|punkt|point|punto)"
 _BRACKETED = re.compile(rf"[\[({{<]\s?(?:{_AT}|@|{_DOT}|\.)\s?[\])}}>]", re.I)
@@ -52,11 +57,19 @@ _SIGNS = re.compile(
     rf"|(?<=[A-Za-z0-9])\s{_DOT}\s(?=[A-Za-z0-9])",
     re.I,
 )
+# A bare "at" before a plain domain: the host is a mail host, or what stands before looks like no word of prose.
+_HALF = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?=\s{_AT}\s(?:{_MAIL_HOSTS.replace(' ', '|')})\.)|[A-Za-z0-9%+-]{{1,64}}[._][A-Za-z0-9._%+-]{{1,64}})(?P<at>\s{_AT}\s)(?=[A-Za-z0-9-]+\.[A-Za-z0-9])",
+    re.I,
+)
+# Single characters with a blank between each two; a local part has 64 at most.
+_SPACED = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-] ){1,64}@(?: [A-Za-z0-9-]){1,63}(?: \.(?: [A-Za-z0-9-]){1,63}){1,8}(?!\S)")
+_BARE_AT = re.compile(rf"\s{_AT}\s", re.I)
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_SPOKEN = re.compile(rf"(?:\bplus[ ,-]{{1,2}})?(?<!\w)(?:{_WORD})(?:(?:[ ,-]{{1,2}}|(?P<dot>\.))(?:{_WORD}|[0-9]+)(?!\w))+", re.I)
-_TOKEN = re.compile(rf"(?P<plus>plus)|(?P<word>{_WORD})|(?P<digits>[0-9]+)|(?P<dot>\.)", re.I)
-#: Fewer spelled digits in a row than this are left as words.
-SPOKEN_MIN = 4
+_SPOKEN = re.compile(rf"(?:\bplus[ ,-]{{1,2}}|\+[0-9]{{1,3}}[ ,-]{{1,2}})?(?<!\w)(?:{_WORD})(?:(?:[ ,-]{{1,2}}|(?P<dot>\.))(?:{_WORD}|[0-9]+)(?!\w))+", re.I)
+_TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<word>{_WORD})|(?P<digits>[0-9]+)|(?P<dot>\.)", re.I)
+#: Fewer spelled digits in a row than this are left as words; after a plus the second number will do, if there are digits for a phone.
+SPOKEN_MIN, SPOKEN_AFTER_PLUS, PHONE_MIN = 4, 2, 8
 
 
 def luhn(digits: str) -> bool:
@@ -148,13 +161,23 @@ def _sign(m: re.Match) -> list[tuple[str, int, int]]:
     return [("@" if m["at"] or m["bare"] else ".", *m.span())]
 
 
+def _half(m: re.Match) -> list[tuple[str, int, int]]:
+    start, end = m.span("at")
+    return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group()[: start - m.start()])] + [("@", start, end)]
+
+
+def _close(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group()) if c != " "]
+
+
 def _spoken(m: re.Match) -> list[tuple[str, int, int]] | None:
     out, words = [], 0
     for t in _TOKEN.finditer(m.group()):
         words += t["word"] is not None
         s = "+" if t["plus"] else "." if t["dot"] else t["digits"] or DIGITS[t.group().lower()]
         out.append((s, m.start() + t.start(), m.start() + t.end()))
-    return out if words >= SPOKEN_MIN else None
+    phone = out[0][0] == "+" and sum(len(s) for s, _, _ in out[1:]) >= PHONE_MIN
+    return out if words >= (SPOKEN_AFTER_PLUS if phone else SPOKEN_MIN) else None
 
 
 def normalised(text: str) -> Tape | None:
@@ -164,8 +187,12 @@ def normalised(text: str) -> Tape | None:
         tape = tape.rewrite(_ODD, _plain)
     if _BRACKETED.search(tape.text) or _SPELLED.search(tape.text):
         tape = tape.rewrite(_SIGNS, _sign)
+    if _BARE_AT.search(tape.text):
+        tape = tape.rewrite(_HALF, _half)
+    if " @ " in tape.text:
+        tape = tape.rewrite(_SPACED, _close)
     words = tape.text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
-    if sum(map(DIGITS.__contains__, words)) >= SPOKEN_MIN:
+    if sum(map(DIGITS.__contains__, words)) >= (SPOKEN_AFTER_PLUS if "+" in tape.text or "plus" in words else SPOKEN_MIN):
         tape = tape.rewrite(_SPOKEN, _spoken)
     return None if tape.text is text else tape
 
@@ -184,7 +211,8 @@ def find_in(text: str) -> tuple[list[Span], list[Span]]:
         own = [(s, e) for k, s, e in base if k == kind]
         for s, e in find(tape.text):
             a, b = int(tape.first[s]), int(tape.last[e - 1])
-            if not any(x < b and a < y for x, y in own):
+            before = bisect_left(own, (b,))  # those that start before b; the last of them ends last
+            if not before or own[before - 1][1] <= a:
                 added.add((kind, a, b))
     if not added:
         return base, base
