@@ -1,11 +1,12 @@
-"""Exact top-k search by BM25 over a sharded inverted index with block-max pruning.
-
-Each shard of documents has its own inverted index. A query is the set of distinct words of a text. Block-max WAND skips documents whose
-terms' block maxima can't add up to the k-th best score so far. Here queries and documents are taken in blocks, and the test is made for
-a block of documents and all queries at once. Rare terms are scored exactly from their postings. What the many postings of frequent terms
-could add is bounded by the largest weights of the block; only for queries whose bound reaches their threshold is it worked out, as one
-matrix product. Document frequencies and the mean length are those of all shards, so that the shards' best k merge into the exact answer.
-Queries go through the index in turns of bounded size, whatever their number.
+"""Exact top-k search by BM25 over a sharded inverted index with block-max WAND pruning.
+
+Each shard of documents has its own inverted index, in blocks of documents that are alike in frequent words and length. A query is the
+set of distinct words of a text. Block-max WAND passes over documents whose terms' block maxima can't add up to the k-th best score so
+far. Here the pivot test is made for a block and all queries at once: the maxima of all of a query's terms in the block are added up,
+and only of queries whose sum reaches their threshold are postings scored, those of rare terms first. What the many postings of frequent
+terms add is worked out as a matrix product for queries that still reach it. Document frequencies and the mean length are those of all
+shards, so that the shards' best k merge into the exact answer. Queries go through the index in turns of bounded size, whatever their
+number.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from terrane.llm.text import batch_of, map_batches, word_hashes
 
 K1, B = 1.2, 0.75
 #: Words and documents of a shard, documents and queries of a block, and query terms that go through the index in a turn (24 MB).
-SHARD_WORDS, SHARD_DOCS, BLOCK_DOCS, BLOCK_QUERIES, QUERY_TERMS = 6_000_000, 16384, 256, 2048, 2_000_000
+SHARD_WORDS, SHARD_DOCS, BLOCK_DOCS, BLOCK_QUERIES, QUERY_TERMS = 6_000_000, 16384, 128, 2048, 2_000_000
 #: A term is frequent in a shard from this share of its documents on; there are few such terms, as a document has few words.
 FREQUENT = 1 / 24
 #: Cells of a shard's matrix of frequent terms (32 MB), and pairs of a posting and a query that are worked out at once.
 MATRIX_CELLS, PAIRS = 4_000_000, 8_000_000
 #: Scores count as equal, and go by id, when they agree in this many decimals.
 DECIMALS = 6
+#: Words by which a shard's documents are put in order: frequent ones of its first documents. Only speed depends on them.
+_ALIKE, _FIRST = 8, 512
 _SLICE = 256
 
 
@@ -43,9 +46,12 @@ def shards(docs: DataFrame, shard_words: int) -> DataFrame:
         part = task.partitionId() if task else 0
 
         def flush():
-            by_id = sorted(range(len(ids)), key=ids.__getitem__)
+            seen, times = np.unique(np.concatenate(terms[:_FIRST]), return_counts=True)
+            common = seen[np.argsort(-times, kind="stable")[:_ALIKE]]
+            has = [common == np.append(t, np.uint64(0))[np.searchsorted(t, common)] for t in terms]
+            alike = sorted(range(len(ids)), key=lambda i: (has[i].tolist(), lengths[i], ids[i]))
             for x in (ids, lengths, terms, counts):
-                x[:] = [x[i] for i in by_id]
+                x[:] = [x[i] for i in alike]
             all_terms = np.concatenate(terms)
             owner = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(t) for t in terms])
             order = np.argsort(all_terms, kind="stable")
@@ -84,25 +90,42 @@ class Plan:
         self.start = np.searchsorted(of[order], np.arange(len(self.terms) + 1))
         self.idf = np.zeros(len(self.terms))
 
+    def ask(self, terms: np.ndarray, q0: int, q1: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the queries q0 to q1 have each of ``terms``, and these queries, term by term."""
+        start, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        query = self.queries[_expand(start, n)]
+        if q0 or q1 < len(self.ids):
+            here = (query >= q0) & (query < q1)
+            n, query = np.bincount(np.repeat(np.arange(len(terms)), n)[here], minlength=len(terms)), query[here]
+        return n, query
+
 
 class Top:
-    """The k best documents of each query so far, by score and then by id."""
+    """The k best documents of each query so far, by score and then by id; a score of 0 is a free place."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.n = k, queries
-        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.k = k
+        self.best, self.docs = np.zeros((queries, k)), np.zeros((queries, k), np.int64)
         self.least = np.zeros(queries)  # the k-th score, 0 while there are fewer
+        self.tested = self.passed = 0  # pairs of a block and a query, and those whose postings were scored
 
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        query, ids, scores = np.concatenate([self.query, query]), np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+        changed = np.unique(query)
+        own = np.repeat(changed, self.k)
+        query, ids, scores = np.concatenate([own, query]), np.concatenate([self.docs[changed].ravel(), ids]), np.concatenate([self.best[changed].ravel(), scores])
         order = np.lexsort((ids, -scores, query))
-        query = query[order]
-        first = np.searchsorted(query, np.arange(self.n))
-        rank = np.arange(len(query)) - first[query]
+        order = order[scores[order] > 0]
+        query, ids, scores = query[order], ids[order], scores[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
         keep = rank < self.k
-        self.query, self.ids, self.scores = query[keep], ids[order][keep], scores[order][keep]
-        full = rank == self.k - 1
-        self.least[query[full]] = scores[order][full]
+        self.best[changed] = 0
+        self.best[query[keep], rank[keep]], self.docs[query[keep], rank[keep]] = scores[keep], ids[keep]
+        self.least[changed] = self.best[changed, -1]
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, documents and scores, in order of query and rank."""
+        query, rank = np.nonzero(self.best)
+        return query, self.docs[query, rank], self.best[query, rank]
 
 
 def _expand(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -132,47 +155,62 @@ class Shard:
         dense = column >= 0
         self.matrix[doc[dense], column[dense]] = weight[dense]
         rare = ~dense
-        order = np.argsort(doc[rare], kind="stable")
-        self.doc, self.term, self.weight = doc[rare][order], np.repeat(terms, n)[rare][order], weight[rare][order]
+        term, block = np.repeat(terms, n)[rare], doc[rare] // BLOCK_DOCS
+        order = np.argsort(block * len(plan.terms) + term, kind="stable")
+        self.doc, self.weight = doc[rare][order], weight[rare][order]
+        run = block[order] * len(plan.terms) + term[order]  # a run: the postings of a rare term in a block
+        self.run = np.flatnonzero(np.diff(run, prepend=-1))
+        self.run_term, self.run_size = run[self.run] % len(plan.terms), np.diff(self.run, append=len(run))
+        self.run_most = np.maximum.reduceat(self.weight, self.run) if len(run) else np.zeros(0)
         self.blocks = range(0, len(self.ids), BLOCK_DOCS)
+        self.runs = np.searchsorted(run[self.run], np.arange(len(self.blocks) + 1) * len(plan.terms))
         self.most = np.array([self.matrix[i : i + BLOCK_DOCS].max(axis=0) for i in self.blocks]).reshape(len(self.blocks), len(self.frequent))
 
     def search(self, plan: Plan, top: Top) -> None:
         for q0 in range(0, len(plan.ids), BLOCK_QUERIES):
             q1 = min(q0 + BLOCK_QUERIES, len(plan.ids))
             asks = np.zeros((len(self.frequent), q1 - q0))
-            n = plan.start[self.frequent + 1] - plan.start[self.frequent]
-            query = plan.queries[_expand(plan.start[self.frequent], n)]
-            here = (query >= q0) & (query < q1)
-            asks[np.repeat(np.arange(len(self.frequent)), n)[here], query[here] - q0] = 1
+            n, query = plan.ask(self.frequent, q0, q1)
+            asks[np.repeat(np.arange(len(self.frequent)), n), query - q0] = 1
             could = self.most @ asks
-            for block, d0 in enumerate(self.blocks):
-                self._score(plan, top, q0, q1, asks, could[block], d0, min(d0 + BLOCK_DOCS, len(self.ids)))
-
-    def _score(self, plan: Plan, top: Top, q0: int, q1: int, asks: np.ndarray, could: np.ndarray, d0: int, d1: int) -> None:
-        a, b = np.searchsorted(self.doc, [d0, d1])
-        term = self.term[a:b]
-        n = plan.start[term + 1] - plan.start[term]
-        if n.sum() > PAIRS and d1 - d0 > 1:
-            self._score(plan, top, q0, q1, asks, could, d0, (d0 + d1) // 2)
-            self._score(plan, top, q0, q1, asks, could, (d0 + d1) // 2, d1)
+            for block in range(len(self.blocks)):
+                self._score(plan, top, q0, q1, asks, could[block], block)
+
+    def _score(self, plan: Plan, top: Top, q0: int, q1: int, asks: np.ndarray, could: np.ndarray, block: int) -> None:
+        """A block's documents for the queries q0 to q1, of which ``could`` has the sums of frequent terms' maxima."""
+        runs = slice(self.runs[block], self.runs[block + 1])
+        n, query = plan.ask(self.run_term[runs], q0, q1)
+        if q1 - q0 > 1 and (n * self.run_size[runs]).sum() > PAIRS:
+            half = (q1 - q0) // 2
+            self._score(plan, top, q0, q0 + half, asks[:, :half], could[:half], block)
+            self._score(plan, top, q0 + half, q1, asks[:, half:], could[half:], block)
             return
-        query = plan.queries[_expand(plan.start[term], n)]
-        doc, weight = np.repeat(self.doc[a:b] - d0, n), np.repeat(self.weight[a:b], n)
-        if q0 or q1 < len(plan.ids):
-            here = (query >= q0) & (query < q1)
-            query, doc, weight = query[here] - q0, doc[here], weight[here]
-        score = np.bincount(doc * (q1 - q0) + query, weights=weight, minlength=(d1 - d0) * (q1 - q0)).reshape(d1 - d0, q1 - q0)
+        query = query - q0
+        run = np.repeat(np.arange(runs.start, runs.stop), n)
         least, slack = top.least[q0:q1], 10.0**-DECIMALS
-        alive = np.flatnonzero(score.max(axis=0) + could >= np.maximum(least - slack, slack / 4))
+        bar = np.maximum(least - slack, slack / 4)
+        pivot = could + np.bincount(query, weights=self.run_most[run], minlength=q1 - q0) >= bar
+        alive = np.flatnonzero(pivot)
+        top.tested += q1 - q0
+        top.passed += len(alive)
+        if not len(alive):
+            return
+        here = pivot[query]
+        query, run = (np.cumsum(pivot) - 1)[query[here]], run[here]
+        d0, d1 = block * BLOCK_DOCS, min((block + 1) * BLOCK_DOCS, len(self.ids))
+        post, query = _expand(self.run[run], self.run_size[run]), np.repeat(query, self.run_size[run])
+        score = np.bincount((self.doc[post] - d0) * len(alive) + query, weights=self.weight[post], minlength=(d1 - d0) * len(alive)).reshape(d1 - d0, len(alive))
+        near = score.max(axis=0) + could[alive] >= bar[alive]
+        alive = alive[near]
         if not len(alive):
             return
-        score = np.round(score[:, alive] + self.matrix[d0:d1] @ asks[:, alive], DECIMALS)
+        score = np.round(score[:, near] + self.matrix[d0:d1] @ asks[:, alive], DECIMALS)
         floor = np.maximum(least[alive], slack / 2)
         if d1 - d0 > top.k:
             floor = np.maximum(floor, np.partition(score, d1 - d0 - top.k, axis=0)[d1 - d0 - top.k])
         found, which = np.nonzero(score >= floor)
-        top.add(alive[which] + q0, self.ids[d0 + found], score[found, which])
+        if len(found):
+            top.add(alive[which] + q0, self.ids[d0 + found], score[found, which])
 
 
 def _queries(docs: DataFrame, chosen: Column) -> DataFrame:
@@ -220,8 +258,9 @@ def _scan(plan, mean: float, k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 Shard(row, mean, plan.value).search(plan.value, top)
-        cut = np.searchsorted(top.query, np.arange(0, len(plan.value.ids) + _SLICE, _SLICE))
-        cells = [[pack(x[a:b]) for x in (top.query, top.ids, top.scores)] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        found = top.flat()
+        cut = np.searchsorted(found[0], np.arange(0, len(plan.value.ids) + _SLICE, _SLICE))
+        cells = [[pack(x[a:b]) for x in found] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.record_batch({"slice": pa.array(range(len(cells)), pa.int32()), **{name: pa.array([c[i] for c in cells], pa.binary()) for i, name in enumerate(("query", "doc", "score"))}})
 
     return run
@@ -233,8 +272,9 @@ def _merge(plan, k: int):
     def merge(key: tuple, parts: pa.Table) -> pa.Table:
         top = Top(len(plan.value.ids), k)
         top.add(*(np.concatenate([unpack(x) for x in parts[name].to_pylist()]) for name in ("query", "doc", "score")))
-        rank = np.arange(len(top.query)) - np.searchsorted(top.query, top.query) + 1
-        return pa.table([pa.array(plan.value.ids[top.query], pa.int64()), pa.array(rank, pa.int32()), pa.array(top.ids, pa.int64()), pa.array(top.scores, pa.float64())], ["query_id", "rank", "doc_id", "score"])
+        query, ids, scores = top.flat()
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        return pa.table([pa.array(plan.value.ids[query], pa.int64()), pa.array(rank, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "rank", "doc_id", "score"])
 
     return merge
 
@@ -242,7 +282,7 @@ def _merge(plan, k: int):
 def search(docs: DataFrame, chosen: Column, k: int = 10, shard_words: int = SHARD_WORDS, query_terms: int = QUERY_TERMS) -> DataFrame:
     """query_id, rank, doc_id and score: the k best documents of ``docs`` for each row that ``chosen`` makes a query, itself among them.
 
-    Ties, to DECIMALS decimals, go to the smaller id. Rows with a null id are left out; null and empty texts count as documents without
+    Ties, to DECIMALS decimals, go to the smaller id. Texts are read whole, however long. An empty table gives an empty one. Rows with a null id are left out; null and empty texts count as documents without
     words, which nothing finds and which find nothing. Rows that repeat an id each are documents. Other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "index")

@@ -28,7 +28,7 @@ def ranked(rows, chosen, k):
 
 @pytest.mark.parametrize("more", [{}, {"shard_words": 3000, "query_terms": 800}])
 def test_search(edge_docs, some_docs, more):
-    docs = edge_docs.where("doc_id IS NULL OR doc_id NOT IN (9, 10)").select("doc_id", "text").union(some_docs.select(F.col("doc_id") + 100, "text")).cache()
+    docs = edge_docs.select("doc_id", "text").union(some_docs.select(F.col("doc_id") + 100, "text")).cache()
     rows = sorted(tuple(r) for r in bm25.search(docs, F.col("doc_id") % 20 == 1, 5, **more).collect())
     expected = ranked([tuple(r) for r in docs.collect()], lambda i: i % 20 == 1, 5)
     assert [r[:2] for r in rows] == [r[:2] for r in expected]
@@ -37,6 +37,33 @@ def test_search(edge_docs, some_docs, more):
     assert sum(a[2] != b[2] for a, b in zip(rows, expected, strict=True)) <= len(rows) * 0.01
 
 
+def test_ties_go_by_id(spark):
+    texts = ["red fox", "red fox", "blue fox", "green hen", "red fox hen"]
+    docs = spark.createDataFrame([(i * 37 % 400, texts[i % 5]) for i in range(400)], "doc_id long, text string").repartition(4)
+    rows = sorted(tuple(r) for r in bm25.search(docs, F.col("doc_id") % 7 == 0, 12, shard_words=90).collect())
+    expected = ranked([tuple(r) for r in docs.collect()], lambda i: i % 7 == 0, 12)
+    assert [r[:3] for r in rows] == [r[:3] for r in expected]
+    assert [r[3] for r in rows] == pytest.approx([r[3] for r in expected], abs=2e-6)
+
+
+def test_blocks_are_passed_over(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(w)}" for w in rng.zipf(1.4, 40) if w < 5000)) for i in range(4000)]
+    found = bm25.shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), bm25.SHARD_WORDS).collect()
+    plan = bm25.Plan([(i, np.unique(word_hashes(t))) for i, t in rows[::100]])
+    held = [set(t.split()) for _, t in rows]
+    hashes = {int(word_hashes(w)[0]): w for t in held for w in t}
+    df = np.array([sum(hashes[int(h)] in t for t in held) for h in plan.terms])
+    plan.idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
+    top = bm25.Top(len(plan.ids), 10)
+    for r in found:
+        bm25.Shard(r.asDict(), sum(r.words for r in found) / len(rows), plan).search(plan, top)
+    assert 0 < top.passed < top.tested * 0.6
+    query, docs, scores = top.flat()
+    expected = ranked(rows, lambda i: i % 100 == 0, 10)
+    assert scores.tolist() == pytest.approx([r[3] for r in expected], abs=2e-6) and (docs == [r[2] for r in expected]).mean() > 0.99
+
+
 def test_search_of_nothing(no_docs, edge_docs):
     assert bm25.search(no_docs, F.lit(True)).count() == 0
     assert bm25.search(edge_docs, F.lit(False)).count() == 0
