@@ -41,6 +41,7 @@ _DOUBLES = dict(zip(_LOOK_ALIKE, _LATIN, strict=True)) | dict.fromkeys(_STOPS, "
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LOCAL_MAX = 64
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _GROUPED = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -57,14 +58,11 @@ _SIGNS = re.compile(
     rf"|(?<=[A-Za-z0-9])\s{_DOT}\s(?=[A-Za-z0-9])",
     re.I,
 )
-# A bare "at" before a plain domain: the host is a mail host, or what stands before looks like no word of prose.
-_HALF = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}(?=\s{_AT}\s(?:{_MAIL_HOSTS.replace(' ', '|')})\.)|[A-Za-z0-9%+-]{{1,64}}[._][A-Za-z0-9._%+-]{{1,64}})(?P<at>\s{_AT}\s)(?=[A-Za-z0-9-]+\.[A-Za-z0-9])",
-    re.I,
-)
+# A bare "at" before a plain domain; it counts if the host is a mail host or what stands before looks like no word of prose.
+_HALF = re.compile(r" (?:at|arroba|arobase) (?=[A-Za-z0-9-]+\.[A-Za-z0-9])")
+_HOST = re.compile(rf"(?:{'|'.join(_MAIL_HOSTS.split())})\.", re.I)
 # Single characters with a blank between each two; a local part has 64 at most.
 _SPACED = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-] ){1,64}@(?: [A-Za-z0-9-]){1,63}(?: \.(?: [A-Za-z0-9-]){1,63}){1,8}(?!\S)")
-_BARE_AT = re.compile(rf"\s{_AT}\s", re.I)
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SPOKEN = re.compile(rf"(?:\bplus[ ,-]{{1,2}}|\+[0-9]{{1,3}}[ ,-]{{1,2}})?(?<!\w)(?:{_WORD})(?:(?:[ ,-]{{1,2}}|(?P<dot>\.))(?:{_WORD}|[0-9]+)(?!\w))+", re.I)
 _TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<word>{_WORD})|(?P<digits>[0-9]+)|(?P<dot>\.)", re.I)
@@ -161,9 +159,12 @@ def _sign(m: re.Match) -> list[tuple[str, int, int]]:
     return [("@" if m["at"] or m["bare"] else ".", *m.span())]
 
 
-def _half(m: re.Match) -> list[tuple[str, int, int]]:
-    start, end = m.span("at")
-    return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group()[: start - m.start()])] + [("@", start, end)]
+def _half(m: re.Match) -> list[tuple[str, int, int]] | None:
+    start = end = m.start()
+    while start and end - start < _LOCAL_MAX and m.string[start - 1] in _LOCAL:
+        start -= 1
+    local = m.string[start:end].strip(".")
+    return [("@", *m.span())] if local and (_HOST.match(m.string, m.end()) or "." in local or "_" in local) else None
 
 
 def _close(m: re.Match) -> list[tuple[str, int, int]]:
@@ -187,8 +188,7 @@ def normalised(text: str) -> Tape | None:
         tape = tape.rewrite(_ODD, _plain)
     if _BRACKETED.search(tape.text) or _SPELLED.search(tape.text):
         tape = tape.rewrite(_SIGNS, _sign)
-    if _BARE_AT.search(tape.text):
-        tape = tape.rewrite(_HALF, _half)
+    tape = tape.rewrite(_HALF, _half)
     if " @ " in tape.text:
         tape = tape.rewrite(_SPACED, _close)
     words = tape.text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
