@@ -163,10 +163,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY added, leg) A
 
 def q81_grid_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the walking grid under strips, what they cost (links, passages over them, forbidden boxes over all), by row of the grid."""
-    strips = routes.raster_cells(_strips(spark, sf_dir), 2.0, "tx0", "ty0", "tx1", "ty1").select("r", "c").distinct()
-    core = routes.raster_cells(_sites(spark, sf_dir).select("sx", "sy", (F.col("sx") + 60).alias("ex"), (F.col("sy") + 6).alias("ey")), 2.0, "sx", "sy", "ex", "ey").select("r", "c", F.lit(True).alias("core")).distinct()
-    blocked = routes.raster_cells(_zones(spark, sf_dir), 2.0, "zx0", "zy0", "zx1", "zy1").select("r", "c", F.lit(True).alias("blocked"))
-    cells = strips.join(core, ["r", "c"], "left").join(blocked, ["r", "c"], "left").fillna(False)
+    strips = routes.raster_cells(_strips(spark, sf_dir), 2.0, "tx0", "ty0", "tx1", "ty1")
+    core = routes.raster_cells(_sites(spark, sf_dir).select("sx", "sy", (F.col("sx") + 60).alias("ex"), (F.col("sy") + 6).alias("ey")), 2.0, "sx", "sy", "ex", "ey")
+    blocked = routes.raster_cells(_zones(spark, sf_dir), 2.0, "zx0", "zy0", "zx1", "zy1")
+    cells = routes.marked_cells(strip=strips, core=core, blocked=blocked).where("strip")
     cost = graph.cost_of(F.col("blocked"), F.col("core"), F.lit(True))
     return cells.groupBy("r").agg(F.count(F.lit(1)).alias("cells"), F.count(cost).alias("open_cells"), F.sum(cost).alias("cost"))
 
