@@ -1,7 +1,12 @@
 """What holds when tables grow: plans that send no side to every task, and results beyond what small tables have."""
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from terrane import plans
-from terrane.operators import routes
+from terrane.functions import geometry as G
+from terrane.operators import matching, routes, spatial, union_area, walls
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +23,26 @@ def test_marked_cells(spark):
     cells = lambda *rows: spark.createDataFrame(rows, "r long, c long")
     found = routes.marked_cells(a=cells((0, 0), (0, 0), (1, 0)), b=cells((1, 0), (2, 2))).collect()
     assert sorted(map(tuple, found)) == [(0, 0, True, False), (1, 0, True, True), (2, 2, False, True)]
+
+
+def _stars(seed, n):
+    rng = np.random.default_rng(seed)
+    out = []
+    while len(out) < n:
+        k = rng.integers(3, 9)
+        angle = np.sort(rng.uniform(0, 2 * np.pi, k))
+        if np.diff([*angle, angle[0] + 2 * np.pi]).max() < np.pi:  # else sides may cross
+            r = rng.uniform(2, 10, k)
+            p = np.stack([r * np.cos(angle), r * np.sin(angle)], 1) + rng.uniform(-5, 5, 2) + 1000
+            out.append(p if rng.random() < 0.5 else p[::-1])
+    return out
+
+
+def test_common_areas_against_slabs():
+    ps, qs = _stars(1, 300), _stars(2, 300)
+    column = lambda rings: pa.array([[{"x": x, "y": y} for x, y in r] for r in rings])
+    shared, apart = union_area.common_areas(column(ps), column(qs))
+    for p, q, s, a in zip(ps, qs, shared, apart, strict=True):
+        one = union_area.union_area([p])
+        expected = one + union_area.union_area([q]) - union_area.union_area([p, q])
+        assert abs(s - expected) < 1e-7 and abs(a - (one - expected)) < 1e-7
