@@ -168,11 +168,7 @@ def q22_link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of row pieces of different tiles, one behind the other on nearly one axis, with no third piece in between."""
     p = _points(spark, sf_dir)
     seg = p.select("c_custkey", (F.floor(F.col("y") / 20)).alias("axis"), F.col("x").alias("lo"), (F.col("x") + 3 + F.col("c_custkey") % 25).alias("hi"), (F.col("c_custkey") % 5).alias("tile"))
-    other = seg.select("axis", *(F.col(c).alias(f"b_{c}") for c in ("c_custkey", "lo", "hi", "tile")))
-    pairs = seg.join(other, "axis").where("b_tile <> tile AND b_lo - hi BETWEEN 0 AND 60")  # the axis is the bin
-    third = seg.select(F.col("axis").alias("t_axis"), ((F.col("lo") + F.col("hi")) / 2).alias("mid"), F.col("c_custkey").alias("t_key"))
-    between = (F.col("axis") == F.col("t_axis")) & (F.col("mid") > F.col("hi")) & (F.col("mid") < F.col("b_lo")) & (F.col("t_key") != F.col("c_custkey")) & (F.col("t_key") != F.col("b_c_custkey"))
-    return pairs.join(third, between, "left_anti").select(F.col("c_custkey").alias("a"), F.col("b_c_custkey").alias("b"), F.round(F.col("b_lo") - F.col("hi"), 3).alias("gap"))
+    return spatial.next_on_axis(seg, "axis", "c_custkey", 60.0).where("b_tile <> tile").select(F.col("c_custkey").alias("a"), F.col("b_c_custkey").alias("b"), F.round(F.col("b_lo") - F.col("hi"), 3).alias("gap"))
 
 
 ORACLE["q22_link_candidates"] = f"""WITH {_PTS}, s AS (SELECT c_custkey, floor(y / 20) AS axis, x AS lo, x + 3 + c_custkey % 25 AS hi, c_custkey % 5 AS tile FROM pt)

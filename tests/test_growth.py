@@ -48,6 +48,15 @@ def test_common_areas_against_slabs():
         assert abs(s - expected) < 1e-7 and abs(a - (one - expected)) < 1e-7
 
 
+def test_next_on_axis_against_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 3)), i, float(lo), float(lo + rng.integers(0, 9))) for i, lo in enumerate(rng.integers(0, 60, 200))]
+    found = spatial.next_on_axis(spark.createDataFrame(rows, "axis long, k long, lo double, hi double"), "axis", "k", 20.0)
+    expected = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and 0 <= b[2] - a[3] <= 20 and not any(t[0] == a[0] and a[3] < (t[2] + t[3]) / 2 < b[2] for t in rows if t[1] not in (a[1], b[1]))]
+    assert sorted((r.k, r.b_k) for r in found.collect()) == sorted(expected)
+    assert "BroadcastNestedLoop" not in _plan(plans.QUERIES["q22_link_candidates"](spark, SF))
+
+
 def test_links_meet_in_small_cells(spark):
     """Pairs in one grid cell of the whole reach, 88 metres, would be all of these 16 million."""
     seg = spark.range(4000).selectExpr("id AS seg", "id % 2 AS tile", "(id % 63) * 1.0D AS ax", "(id DIV 63) * 1.0D AS ay", "(id % 63) + 0.5D AS bx", "(id DIV 63) * 1.0D AS by", "0.0D AS angle")
