@@ -47,15 +47,41 @@ def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
+def connected(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """For each pair of one of n and one of m objects the number of the set that the pairs connect."""
+    up = np.arange(n + m)
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in zip(a.tolist(), (b + n).tolist(), strict=True):
+        p, q = root(i), root(j)
+        up[max(p, q)] = min(p, q)
+    return np.array([root(i) for i in a.tolist()], np.int64)
+
+
 def match_one_to_one(candidates: DataFrame, group: str, left: str, right: str, weight: str, least: float) -> DataFrame:
-    """The pairs of each group that maximise the sum of weights; of these, those of ``least`` or more. A group is a tile's objects."""
+    """The pairs of each group that maximise the sum of weights; of these, those of ``least`` or more. A group is a tile's objects.
+
+    Each set of objects that candidates connect is solved apart, so that a table of weights is as large as what touches, not as a tile.
+    """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        ls, rs = np.sort(rows[left].unique()), np.sort(rows[right].unique())
-        w = np.zeros((len(ls), len(rs)))
-        w[np.searchsorted(ls, rows[left]), np.searchsorted(rs, rows[right])] = rows[weight]
-        pairs = [(i, j) for i, j in assignment(w) if w[i, j] >= least and w[i, j] > 0]
-        return pd.DataFrame({group: [rows[group].iloc[0]] * len(pairs), left: [ls[i] for i, _ in pairs], right: [rs[j] for _, j in pairs], weight: [w[i, j] for i, j in pairs]})
+        ls, l_at = np.unique(rows[left], return_inverse=True)
+        rs, r_at = np.unique(rows[right], return_inverse=True)
+        value, of = rows[weight].to_numpy(float), connected(l_at, r_at, len(ls), len(rs))
+        order = np.argsort(of, kind="stable")
+        found: list[tuple[int, int, float]] = []
+        for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            li, lk = np.unique(l_at[part], return_inverse=True)
+            ri, rk = np.unique(r_at[part], return_inverse=True)
+            w = np.zeros((len(li), len(ri)))
+            w[lk, rk] = value[part]
+            found += [(li[i], ri[j], w[i, j]) for i, j in assignment(w) if w[i, j] >= least and w[i, j] > 0]
+        return pd.DataFrame({group: [rows[group].iloc[0]] * len(found), left: [ls[i] for i, _, _ in found], right: [rs[j] for _, j, _ in found], weight: [w for _, _, w in found]})
 
     types = dict(candidates.dtypes)
     return candidates.select(group, left, right, weight).groupBy(group).applyInPandas(solve, f"{group} {types[group]}, {left} {types[left]}, {right} {types[right]}, {weight} double")

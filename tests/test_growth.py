@@ -48,6 +48,14 @@ def test_common_areas_against_slabs():
         assert abs(s - expected) < 1e-7 and abs(a - (one - expected)) < 1e-7
 
 
+def test_matching_takes_a_tile_of_many_objects(spark):
+    """A table of weights of all objects would take 80 GB."""
+    n = 100_000
+    c = spark.range(n).selectExpr("'t' AS tile", "id AS l", "id AS r", "0.9D AS w").union(spark.createDataFrame([("t", 0, 1, 0.95), ("t", 1, 0, 0.9)], "tile string, l long, r long, w double"))
+    found = matching.match_one_to_one(c, "tile", "l", "r", "w", 0.5)
+    assert sorted((r.l, r.r) for r in found.where("l < 2").collect()) == [(0, 1), (1, 0)] and found.count() == n
+
+
 def test_next_on_axis_against_a_plain_loop(spark):
     rng = np.random.default_rng(5)
     rows = [(int(rng.integers(0, 3)), i, float(lo), float(lo + rng.integers(0, 9))) for i, lo in enumerate(rng.integers(0, 60, 200))]
