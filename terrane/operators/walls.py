@@ -84,16 +84,21 @@ def crossings(route: DataFrame, axes: DataFrame, passages: DataFrame | None = No
     """
     both = lambda df, x, y, u, v, k: df.select("*", F.least(x, u).alias(f"{k}0"), F.least(y, v).alias(f"{k}1"), F.greatest(x, u).alias(f"{k}2"), F.greatest(y, v).alias(f"{k}3"))
     met = spatial.box_join(both(route, "px", "py", "qx", "qy", "_s"), both(axes, "ax", "ay", "bx", "by", "_w"), size, ("_s0", "_s1", "_s2", "_s3"), ("_w0", "_w1", "_w2", "_w3"))
-    met = met.where(~_apart(G.point("px", "py"), G.point("qx", "qy"), G.point("ax", "ay"), G.point("bx", "by")))
     side = lambda x, y: (F.col("bx") - F.col("ax")) * (F.col(y) - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col(x) - F.col("ax"))
     t = F.coalesce(F.try_divide(side("px", "py"), side("px", "py") - side("qx", "qy")), F.lit(0.0))
-    hits = met.select("row_id", "leg", (F.col("px") + t * (F.col("qx") - F.col("px"))).alias("x"), (F.col("py") + t * (F.col("qy") - F.col("py"))).alias("y"))
+    # A leg crosses an axis if its ends aren't on one side of it and the place, as reported, lies on the axis: along its longer extent.
+    place = lambda p, q: F.col(p) + t * (F.col(q) - F.col(p))
+    on = lambda v, a, b: v.between(F.least(a, b), F.greatest(a, b))
+    level = F.abs(F.col("bx") - F.col("ax")) >= F.abs(F.col("by") - F.col("ay"))
+    met = met.where(F.signum(side("px", "py")) != F.signum(side("qx", "qy"))).where(F.when(level, on(place("px", "qx"), "ax", "bx")).otherwise(on(place("py", "qy"), "ay", "by")))
+    hits = met.select("row_id", "leg", place("px", "qx").alias("x"), place("py", "qy").alias("y"), (side("px", "py") == 0).alias("_meets"))
     if passages is not None:
         boxes = passages.select(*(F.col(c).alias(f"_p{c}") for c in ("x0", "y0", "x1", "y1")))
         points = hits.withColumns({"_hx": F.col("x"), "_hy": F.col("y")})
         inside = spatial.box_join(points, boxes, size, ("x", "y", "_hx", "_hy"), ("_px0", "_py0", "_px1", "_py1")).select("row_id", "leg", "x", "y").distinct()
         hits = hits.join(inside, ["row_id", "leg", "x", "y"], "left_anti")
     before = Window.partitionBy("row_id").orderBy("leg", "x", "y")
+    # Near one another isn't enough: legs at a sharp angle may cross an axis twice beside their common point.
     near = F.hypot(F.col("x") - F.lag("x").over(before), F.col("y") - F.lag("y").over(before)) <= same
-    again = (F.col("leg") - F.lag("leg").over(before) == 1) & near
+    again = (F.col("leg") - F.lag("leg").over(before) == 1) & near & F.col("_meets")
     return hits.withColumn("_again", F.coalesce(again, F.lit(False))).where("NOT _again").select("row_id", "leg", "x", "y")

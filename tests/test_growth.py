@@ -98,3 +98,9 @@ def test_point_on_a_slanted_edge_is_as_far_as_sql_says(spark):
     con.executemany("INSERT INTO p VALUES (?, ?, ?)", rows)
     t = "SELECT *, greatest(0, least(1, ((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)))) AS t FROM (SELECT *, r AS ax, 0.0::DOUBLE AS ay, 0.0::DOUBLE AS ex, r AS ey FROM p)"
     assert found == sorted(con.execute(f"SELECT x, y, r, sqrt((x - ax - t * (ex - ax)) * (x - ax - t * (ex - ax)) + (y - ay - t * (ey - ay)) * (y - ay - t * (ey - ay))) FROM ({t})").fetchall())
+
+
+def test_legs_that_cross_an_axis_beside_their_point_cross_twice(spark):
+    route = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 100.25), (2, 10.0, 100.25, 20.0, 0.0)], "leg long, px double, py double, qx double, qy double")
+    axes = spark.createDataFrame([(1, -50.0, 100.24, 50.0, 100.24), (2, -50.0, 100.25, 50.0, 100.25)], "row_id long, ax double, ay double, bx double, by double")
+    assert sorted(r.row_id for r in walls.crossings(route, axes).collect()) == [1, 1, 2]
