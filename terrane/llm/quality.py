@@ -1,12 +1,15 @@
 """Quality scores learned from preferences.
 
 Each pair of a document labelled 1 and one labelled 0 is a preference. The Bradley-Terry model gives a document the strength w.x and the
-pair the likelihood sigmoid(w.(x1 - x0)); w is fitted by logistic loss on feature differences. The strength at the quantile that leaves
-the labelled share of good documents above it becomes the score CUT, so that score >= CUT is the threshold by quantile.
+pair the likelihood sigmoid(w.(x1 - x0)); w is fitted by logistic loss on the feature differences of all pairs. As a pair's likelihood
+depends on two strengths alone, pairs are not made one by one: documents are added up in fine cells of strength, cells are paired, and
+the likelihood between their edges is interpolated. The strength at the quantile that leaves the labelled share of good documents above
+it, among all labelled ones, becomes the score CUT, so that score >= CUT is the threshold by quantile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.sample import of_each
+from terrane.llm.store import Scratch
+from terrane.llm.sums import at_rank, summed
 from terrane.llm.text import batch_of, map_batches, word_blocks
 
-#: Bounds of the training sample: documents of each label, and pairs of them.
-SAMPLE_EACH, PAIRS = 2000, 40_000
 CUT = 0.7
+#: Edges of the cells of strength; those beyond count as the outermost.
+_EDGES = np.linspace(-32, 32, 1025)
 _L2 = 1e-3
 _CLIP = 6.0
 _ASCII = 128
@@ -68,55 +72,104 @@ class Model:
     weights: np.ndarray
     cut: float  # the strength that gets the score CUT
 
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -_CLIP, _CLIP) @ self.weights
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        strength = np.clip((x - self.mean) / self.scale, -_CLIP, _CLIP) @ self.weights - self.cut + np.log(CUT / (1 - CUT))
+        strength = self.strengths(x) - self.cut + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(strength, -30, 30)))
 
 
-def fit(x: np.ndarray, good: np.ndarray, share: float) -> Model:
-    """Logistic loss on feature differences of pairs, by Newton steps; share: of good documents among all labelled ones."""
-    if not good.any() or good.all():  # no pair: nothing sets documents apart
-        return Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1]), -1.0 if good.any() else 1.0)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.clip((x - mean) / scale, -_CLIP, _CLIP).astype(np.float64)
-    rng = np.random.default_rng(7)
-    up, down = np.flatnonzero(good), np.flatnonzero(~good)
-    d = z[rng.choice(up, PAIRS)] - z[rng.choice(down, PAIRS)]
-    w = np.zeros(z.shape[1])
+def _placed(strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edge below each strength, and how far it is on the way to the next."""
+    at = np.clip((strength - _EDGES[0]) / (_EDGES[1] - _EDGES[0]), 0, len(_EDGES) - 1 - 1e-9)
+    low = at.astype(np.int64)
+    return low, at - low
+
+
+def _by_edge(z: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Numbers and sums of rows by edge, each row shared between the two edges beside its strength."""
+    low, part = _placed(strength)
+    at, n = np.concatenate([low, low + 1]), len(_EDGES)
+    return np.stack([np.bincount(at, np.concatenate([(1 - part) * c, part * c]), n) for c in (np.ones(len(z)), *z.T)], axis=1)
+
+
+#: Adds up what a function of features and marks (good or not) makes of all rows.
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def fit(total: Total, width: int) -> tuple[Model, int]:
+    """Logistic loss on the feature differences of all pairs, by Newton steps; the model without its cut, and the number of bad ones."""
+    s = total(lambda x, good: np.concatenate([[good.sum()], [(~good).sum()], x.sum(axis=0), (x**2).sum(axis=0)]))
+    up, down = (int(s[0]), int(s[1])) if len(s) else (0, 0)
+    if not up or not down:  # no pair: nothing sets documents apart
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), -1.0 if up else 1.0), down
+    mean = s[2 : 2 + width] / (up + down)
+    scale = np.sqrt(np.maximum(s[2 + width :] / (up + down) - mean**2, 0)) + 1e-3
+    wrong = 1 / (1 + np.exp(np.clip(_EDGES[:, None] - _EDGES[None, :], -30, 30)))  # of a good edge and a bad one
+    slope = wrong * (1 - wrong)
+    w = np.zeros(width)
+
+    def z_of(x: np.ndarray) -> np.ndarray:
+        return np.clip((x - mean) / scale, -_CLIP, _CLIP)
+
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # of the wrong order
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + (_L2 + 1e-9) * np.eye(len(w)), d.T @ p / len(d) - _L2 * w)
-        w += step / max(1.0, np.abs(step).max())
+        # What tasks run holds the weights of this step.
+        def edges(x: np.ndarray, good: np.ndarray, w=w) -> np.ndarray:
+            z = z_of(x)
+            return np.stack([_by_edge(z[g], z[g] @ w) for g in (good, ~good)])
+
+        good, bad = total(edges).reshape(2, len(_EDGES), width + 1)
+        curve = np.stack([slope @ bad[:, 0], slope.T @ good[:, 0]]) / (up * down)
+
+        def squares(x: np.ndarray, good: np.ndarray, w=w, curve=curve) -> np.ndarray:
+            z = z_of(x)
+            low, part = _placed(z @ w)
+            side = np.where(good, 0, 1)
+            return (z * ((1 - part) * curve[side, low] + part * curve[side, low + 1])[:, None]).T @ z
+
+        cross = good[:, 1:].T @ slope @ bad[:, 1:] / (up * down)
+        bend = total(squares).reshape(width, width) - cross - cross.T
+        pull = ((wrong @ bad[:, 0]) @ good[:, 1:] - (wrong.T @ good[:, 0]) @ bad[:, 1:]) / (up * down)
+        step = np.linalg.solve(bend + (_L2 + 1e-9) * np.eye(width), pull - _L2 * w)
+        w = w + step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-6:
             break
-    s = z @ w
-    order = np.argsort(s)
-    weight = np.where(good, share / good.sum(), (1 - share) / (~good).sum())[order]
-    k = int(np.searchsorted(np.cumsum(weight), 1 - share))
-    k = min(max(k, 1), len(s) - 1)
-    return Model(mean, scale, w, float((s[order][k - 1] + s[order][k]) / 2))
+    return Model(mean, scale, w, 0.0), down
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the doc_id and text of ``docs`` and the quality of ``labels``.
+    """A model from the doc_id and text of ``docs`` and the quality of ``labels``, learned from every labelled document with a text.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels of an id the highest counts. A bounded sample of each
-    label, by hash of id, is brought to the driver as features; of rows that repeat an id one counts.
+    Labels other than 0 and 1 and null ids are left out; of several labels of an id the highest counts, and of rows that repeat an id
+    one. Features are made before documents meet labels, so that no text is shuffled; the driver gets sums alone.
     """
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
-    picked = of_each(marked, "quality", list(counts.items()), SAMPLE_EACH)
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "text")  # at most 2 * SAMPLE_EACH ids
-    schema = pa.schema([("doc_id", pa.string()), ("quality", pa.int64()), ("x", pa.binary())])
+    scratch = Scratch(docs.sparkSession, "quality")
+    width = len(features(""))
+    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg((F.max("quality") == 1).alias("good"))
+    rows = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    schema = pa.schema([("doc_id", pa.string()), ("x", pa.binary())])
 
     def kernel():
-        return lambda b: batch_of(schema, [b.column(0), b.column(1).cast(pa.int64()), [features(x.as_py()).tobytes() for x in b.column(2)]])
+        return lambda b: batch_of(schema, [b.column(0), [features(x.as_py()).tobytes() for x in b.column(1)]])
+
+    each = map_batches(rows, kernel, "doc_id string, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).join(marked, "doc_id").select("good", "x")
+    table = scratch.save(each, "features")
+
+    def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width).astype(np.float64), np.array(batch.column(0).to_pylist(), bool)
+
+    def total(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        return summed(table, lambda: lambda batch: f(*rows_of(batch)))[1]
 
-    each = map_batches(rows, kernel, "doc_id string, quality long, x binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x"))
-    found = sorted(each.collect())
-    if not found:
-        return fit(np.zeros((1, len(features("")))), np.zeros(1, bool), 0.0)
-    return fit(np.array([np.frombuffer(r.x, np.float32) for r in found]), np.array([r.quality == 1 for r in found]), counts.get(1, 0) / max(1, sum(counts.values())))
+    model, down = fit(total, width)
+    if model.weights.any():
+        strength = pa.schema([("v", pa.float64())])
+        found = scratch.save(map_batches(table, lambda: lambda b: batch_of(strength, [model.strengths(rows_of(b)[0])]), "v double"), "strengths")
+        model.cut = sum(at_rank(found, down - 1)) / 2
+        scratch.drop(found)
+    scratch.drop(table)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

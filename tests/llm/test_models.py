@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, katz, langid, pii, quality, sample
+from terrane.llm import bpe, katz, langid, pii, quality, sample, sums
 from terrane.llm.text import bucket_of, word_hashes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -139,6 +139,30 @@ def test_quality(spark, edge_docs, no_docs):
     assert quality.score(no_docs, quality.train(no_docs, labels)).count() == 0
 
 
+def test_quality_learns_from_all_pairs_of_all_labelled_rows(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["Sun.", "moon", "rain,", "42", "Sea", "ab", "!!"], 6 + i % 5)) + (" good" if i % 9 and i % 7 else "") for i in range(2600)]
+    good = np.array([i % 9 > 0 for i in range(2600)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int"))
+    x = np.array([quality.features(t) for t in texts]).astype(float)
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-6)
+    strength = model.strengths(x)
+    assert abs((strength > model.cut).sum() - good.sum()) <= (strength == model.cut).sum()
+    # The derivative of the loss over all pairs is nought at the weights.
+    z = np.clip((x - model.mean) / model.scale, -quality._CLIP, quality._CLIP)
+    wrong = 1 / (1 + np.exp(strength[good][:, None] - strength[~good][None, :]))
+    pull = (wrong.sum(axis=1) @ z[good] - wrong.sum(axis=0) @ z[~good]) / wrong.size
+    assert np.abs(pull).max() > 1e-5 and np.allclose(pull, quality._L2 * model.weights, atol=2e-4)
+
+
+def test_at_rank(spark):
+    v = [0.5, 0.5, 0.5, -3.0, 1e-12, 2e-12, 7.25, 7.25, 1e9]
+    table = spark.createDataFrame([(x,) for x in v], "v double")
+    s = sorted(v)
+    assert [sums.at_rank(table, k) for k in range(8)] == list(zip(s[:-1], s[1:], strict=True))
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
