@@ -3,8 +3,8 @@
 Items are cut into passages of PASSAGE words at most, so that none is lost by its length. Passages of items and of documents are TF-IDF
 vectors; word weights come from all documents, counted in a sketch of fixed size. A distributed randomised SVD of such passages gives a
 space of RANK dimensions, far fewer than there are passages: each task multiplies its rows with a narrow matrix and back, sums are added
-up piece by piece, and the driver orthogonalises what has the width of the sketch (a Gaussian start, power steps, then a small
-eigenproblem). The rows it is fitted on are the passages of all items and of a bounded sample of documents, FIT_PASSAGES about.
+up piece by piece, and the driver orthogonalises what has the width of the sketch (a Gaussian start, power steps, the last of which also
+gives the small eigenproblem). The rows it is fitted on are the passages of all items and of all documents, each cut from end to end.
 
 Every document is searched whole: passages of several lengths, overlapping, are projected and compared with those of all items by cosine.
 Passages most of whose weight lies on words of no item can't be one and are left out first. Candidates are confirmed on the words
@@ -14,7 +14,7 @@ answer, its last words. Items under SHORT words, too little for a cosine, are lo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,55 +25,26 @@ from pyspark.sql import types as T
 
 from terrane.llm.katz import pack, unpack
 from terrane.llm.store import Scratch
+from terrane.llm.sums import SUMS, in_pieces, summed, total_of
 from terrane.llm.text import batch_of, map_batches, mix, word_hashes
 
 #: Cells of the document-frequency sketch, and features of the space; words that share a feature are told apart by the exact check.
 CELLS, FEATURES = 1 << 18, 1 << 14
-#: Dimensions of the space, width of the sketch beyond them, power steps; passages that it is fitted on; words of items a scan looks for.
-RANK, MORE, POWER, FIT_PASSAGES, SCAN_WORDS = 128, 16, 2, 20_000, 500_000
+#: Dimensions of the space, width of the sketch beyond them, power steps; words of items a scan looks for.
+RANK, MORE, POWER, SCAN_WORDS = 128, 16, 2, 500_000
 #: Words of an item's passage; of a document's, with a quarter of it as stride, and of the items' passages that it is compared with, whose
 #: shorter ones have passages of just their own length at every word; words that make an item short.
 PASSAGE, LENGTHS, SHORT = 32, ((20, 15, 28), (32, 24, 1 << 30)), 8
 COSINE, MASS, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.5, 0.25, 0.8, 0.6, 5, 0.8
-_PIECES, _BLOCK = 64, 1 << 13
+_BLOCK, _GROUP, _DENSE = 1 << 13, 1 << 16, 6000
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _added(key: tuple, table: pa.Table) -> pa.Table:
-    """Arrays of one piece, and their numbers of documents, added up."""
-    total = sum(unpack(x).astype(np.float64) for x in table["sums"].to_pylist())
-    return pa.table({"piece": table["piece"][:1], "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "sums": pa.array([pack(total)], pa.binary())})
-
-
-_SUMS = "piece int, n long, sums binary"
-
-
-def _in_pieces(a: np.ndarray, n: int) -> pa.RecordBatch:
-    parts = np.array_split(a, _PIECES)
-    return pa.record_batch({"piece": pa.array(range(_PIECES), pa.int32()), "n": pa.array([n] * _PIECES, pa.int64()), "sums": pa.array([pack(x.reshape(-1)) for x in parts], pa.binary())})
-
-
-def _total(sums: DataFrame) -> tuple[int, np.ndarray]:
-    rows = sorted(sums.groupBy("piece").applyInArrow(_added, _SUMS).collect(), key=lambda r: r["piece"])
-    return (rows[0]["n"], np.concatenate([unpack(r["sums"]) for r in rows])) if rows else (0, np.zeros(0))
-
-
-def weights(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency by cell. Tasks count their documents' distinct cells; pieces of the counts are added up apart."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(CELLS, np.uint32), 0
-        for batch in batches:
-            for text in batch.column(0):
-                total[np.unique(_cell(word_hashes(text.as_py())))] += 1
-                n += 1
-        if n:
-            yield _in_pieces(total, n)
-
-    n, df = _total(docs.select("text").mapInArrow(count, _SUMS))
+def idf_of(n: int, df: np.ndarray) -> np.ndarray:
+    """Inverse document frequency by cell, from the number of documents and of those that hold a word of the cell."""
     return np.log((n + 1) / ((df if n else np.zeros(CELLS)) + 0.5)).clip(0.01).astype(np.float32)
 
 
@@ -92,7 +63,7 @@ class Items:
         self.words = [h for _, h in rows if len(h) >= SHORT]
         self.passages = [(i, a, b) for i, h in enumerate(self.words) for a, b in passages_of(len(h))]
         self.vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
-        self.weight = idf[_cell(self.vocab)]
+        self.weigh(idf)
         v = len(self.vocab)
         self.feature = np.arange(v) if v <= FEATURES else (mix(self.vocab + np.uint64(77)) >> np.uint64(50)).astype(np.int64)
         self.features = min(v, FEATURES)
@@ -101,6 +72,9 @@ class Items:
             if 0 < len(h) < SHORT:
                 self.short.setdefault(len(h), {}).setdefault(int(_runs(h, len(h))[0]), []).append(i)
 
+    def weigh(self, idf: np.ndarray) -> None:
+        self.weight = idf[_cell(self.vocab)]
+
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words in the vocabulary, and whether they are there."""
         slot = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
@@ -129,16 +103,88 @@ def rows_of(items: Items, passages: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return np.cumsum([0, *sizes]), np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.float32), *values])
 
 
+def lot_of(items: Items, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole texts (words) in rows of PASSAGE words, the last of a text with what is left: starts of rows, places in the vocabulary, counts."""
+    n = np.array([len(h) for h in texts], np.int64)
+    parts = np.maximum(n // PASSAGE, 1)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row = np.repeat(np.cumsum(parts) - parts, n) + np.minimum(at // PASSAGE, np.repeat(parts - 1, n))
+    if not len(items.vocab):
+        return np.zeros(parts.sum() + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    slot, known = items.places(np.concatenate([np.zeros(0, np.uint64), *texts]))
+    code, count = np.unique(row[known] * np.int64(len(items.vocab)) + slot[known], return_counts=True)
+    row, slot = np.divmod(code, len(items.vocab))
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=parts.sum()))]), slot, count
+
+
+def weighed(items: Items, start: np.ndarray, slot: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A lot's rows as ``rows_of`` gives them, but for the order in a row and that a word stands once in it."""
+    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    v = items.weight[slot] * count
+    return start, items.feature[slot], (v / np.sqrt(np.bincount(row, v.astype(np.float64) ** 2, len(start) - 1)[row])).astype(np.float32)
+
+
+def cut(docs: DataFrame, items: Items, scratch: Scratch) -> DataFrame:
+    """All documents' passages in lots, and pieces of the numbers of documents by cell, from one look at each text."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    schema = pa.schema([("piece", pa.int32()), ("n", pa.int64()), ("sums", pa.binary()), ("start", pa.binary()), ("slot", pa.binary()), ("count", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last, n, texts, words = np.zeros(CELLS, np.uint32), np.zeros(CELLS, np.int64), 0, [], 0
+
+        def lot() -> pa.RecordBatch:
+            start, slot, count = lot_of(shared.value, texts)
+            return batch_of(schema, [[None], [None], [None], [pack(start)], [pack(slot.astype(np.uint32))], [pack(count.astype(np.uint8))]])
+
+        for batch in batches:
+            for text in batch.column(0):
+                h = word_hashes(text.as_py())
+                cell, place = _cell(h), np.arange(len(h))
+                last[cell] = place
+                total[cell[last[cell] == place]] += 1  # each cell where it stands last
+                texts.append(h)
+                n, words = n + 1, words + len(h)
+                if words >= _GROUP:
+                    yield lot()
+                    texts, words = [], 0
+        if n:
+            yield lot()
+            pieces = in_pieces(total, n)
+            yield batch_of(schema, [*pieces.columns, *[pa.nulls(pieces.num_rows, pa.binary())] * 3])
+
+    return scratch.save(docs.select("text").mapInArrow(run, "piece int, n long, sums binary, start binary, slot binary, count binary"), "passages")
+
+
 def there_and_back(start: np.ndarray, at: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A'(A x) for the rows given."""
     out = np.zeros(x.shape)
-    full = np.flatnonzero(np.diff(start))
+    size = np.diff(start)
+    full = np.flatnonzero(size)
     if len(full):
         y = np.add.reduceat(values[:, None] * x[at], start[full])
-        np.add.at(out, at, values[:, None] * np.repeat(y, np.diff(start)[full], axis=0))
+        order = np.argsort(at, kind="stable")
+        by, row = at[order], np.repeat(np.arange(len(full)), size[full])[order]
+        first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+        out[by[first]] = np.add.reduceat(values[order, None] * y[row], first)
     return out
 
 
+def products(rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """A'(A x) for several lots of rows; up to _DENSE features A'A is added up first, as rows hold far fewer pairs than x has numbers."""
+    if len(x) > _DENSE:
+        return sum(there_and_back(*r, x) for r in rows)
+    square = np.zeros(len(x) ** 2, np.float32)
+    for start, at, values in rows:
+        at = at.astype(np.int64)
+        end = np.repeat(start[1:], np.diff(start))
+        here, values = np.arange(len(at)), values.astype(np.float32)
+        for d in range(int(np.diff(start).max(initial=0))):
+            here = here[here + d < end[here]]
+            np.add.at(square, at[here] * len(x) + at[here + d], values[here] * values[here + d] * np.float32(1 if d else 0.5))
+    square = square.reshape(len(x), len(x))
+    return (square @ x + square.T @ x).astype(np.float64)
+
+
 class Space:
     """A basis by feature, and the items' passages in it, of length 1."""
 
@@ -149,51 +195,36 @@ class Space:
         self.passages = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def fit(items: Items, docs: DataFrame, n_docs: int, scratch: Scratch, rank: int = RANK, fit_passages: int = FIT_PASSAGES, seed: int = 11) -> Space:
-    """The space of a scan's items, from their passages and those of a sample of documents, by a distributed randomised SVD."""
-    # The documents are chosen by a hash of their texts; eight passages of each, spread over it, whatever its length.
-    some = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_passages / 8 / max(1, n_docs))))
+def fit(items: Items, docs: DataFrame, n_docs: int, scratch: Scratch, rank: int = RANK, seed: int = 11, found: DataFrame | None = None) -> Space:
+    """The space of a scan's items, from their passages and those of all documents (n_docs), by a distributed randomised SVD.
+
+    A power step multiplies the sketch q by A'A; of the last one, t, the eigenvectors of t (q't)^-1 t' are taken. ``found`` is what
+    ``cut`` makes of the documents for these items, if there already.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
-    own = pa.schema([("start", pa.binary()), ("at", pa.binary()), ("values", pa.binary())])
-
-    def cut():
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = []
-            for text in batch.column(0):
-                h = word_hashes(text.as_py())
-                found += [h[a : a + PASSAGE] for a in np.unique(np.linspace(0, max(0, len(h) - PASSAGE), 8).astype(int))] if len(h) else []
-            return batch_of(own, [[pack(x)] for x in rows_of(shared.value, found)])
-
-        return run
-
-    rows = scratch.save(map_batches(some, cut, "start binary, at binary, values binary"), "passages")
+    if n_docs:
+        found = (cut(docs, items, scratch) if found is None else found).where("piece IS NULL").select("start", "slot", "count")
     of_items = rows_of(items, [items.words[i][a:b] for i, a, b in items.passages])
     width = min(rank + MORE, items.features)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((items.features, width)))[0]
-    for step in range(POWER + 1):
-        x = spark.sparkContext.broadcast(q.astype(np.float32))
-
-        def multiply(batches: Iterator[pa.RecordBatch], x=x) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(x.value.shape), 0
-            for batch in batches:
-                for r in batch.to_pylist():
-                    start = unpack(r["start"])
-                    total += there_and_back(start, unpack(r["at"]), unpack(r["values"]), x.value)
-                    n += len(start) - 1
-            if n:
-                yield _in_pieces(total.astype(np.float32), n)
-
-        n, sums = _total(rows.mapInArrow(multiply, _SUMS))
-        product = there_and_back(*of_items, q) + (sums.reshape(q.shape) if n else 0)
-        if step < POWER:
+    for step in range(POWER):
+        if step:
             q = np.linalg.qr(product)[0]
-        x.unpersist()
-    value, turn = np.linalg.eigh(q.T @ product)
-    order = np.argsort(-value)[:rank]
-    order = order[value[order] > 1e-9 * max(value[order[0]], 1e-30)]
-    scratch.drop(rows)
-    return Space(items, q @ turn[:, order])
+        product = products([of_items], q)
+        if n_docs:
+            x = spark.sparkContext.broadcast(q.astype(np.float32))
+
+            def multiply(lots: Iterator[dict], x=x) -> np.ndarray:
+                return products((weighed(shared.value, *(unpack(r[k]) for k in ("start", "slot", "count"))) for r in lots), x.value)
+
+            product += summed(found, multiply)[1].reshape(q.shape)
+            x.unpersist()
+    small, turn = np.linalg.eigh((q.T @ product + product.T @ q) / 2)
+    kept = small > 1e-9 * max(small[-1], 1e-30)
+    basis, size, _ = np.linalg.svd(product @ (turn[:, kept] / np.sqrt(small[kept])), full_matrices=False)
+    basis = basis[:, :rank][:, size[:rank] ** 2 > 1e-9 * max(size[0] ** 2, 1e-30)]
+    return Space(items, basis)
 
 
 def common_subsequence(mask: dict[int, int], m: int, words: list[int]) -> int:
@@ -328,20 +359,25 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "items")
     benchmark = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    idf = weights(docs)
     rows = docs.select(*[c for c in docs.columns if c not in ("contaminated", "item_ids", "best_share")])
     found_in, share_of = (_unused(n, rows.columns) for n in ("items_found", "shares_found"))
     added = [T.StructField(found_in, T.ArrayType(T.LongType())), T.StructField(share_of, T.ArrayType(T.DoubleType()))]
-    n_docs = rows.count()
+    n_docs, idf = 0, None
     scans = max(1, -(-int(benchmark.agg(F.sum(F.size(F.split("text", "\\s+")))).first()[0] or 0) // SCAN_WORDS))
     out = rows.withColumns({found_in: F.array().cast("array<bigint>"), share_of: F.array().cast("array<double>")})
     at = rows.columns.index("text")
     for scan in range(scans):
         here = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(scans)) == scan).collect()  # SCAN_WORDS words, about
-        items = Items(sorted(((r["item_id"], word_hashes(r["text"])) for r in here), key=lambda r: r[0]), idf)
+        items = Items(sorted(((r["item_id"], word_hashes(r["text"])) for r in here), key=lambda r: r[0]), np.zeros(CELLS, np.float32))
         if not items.ids and not items.short:
             continue
-        space = fit(items, rows, n_docs, scratch) if items.ids else None
+        passages = cut(rows, items, scratch)
+        if idf is None:
+            n_docs, df = total_of(passages.where("piece IS NOT NULL").select("piece", "n", "sums"))
+            idf = idf_of(n_docs, df)
+        items.weigh(idf)
+        space = fit(items, rows, n_docs, scratch, found=passages) if items.ids else None
+        scratch.drop(passages)
         shared = docs.sparkSession.sparkContext.broadcast((items, space, idf))
 
         def kernel(shared=shared):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.store import Scratch
-from terrane.llm.sums import at_rank, summed
+from terrane.llm.sums import at_rank, summed_by_batch
 from terrane.llm.text import batch_of, map_batches, word_blocks
 
 CUT = 0.7
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width).astype(np.float64), np.array(batch.column(0).to_pylist(), bool)
 
     def total(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        return summed(table, lambda: lambda batch: f(*rows_of(batch)))[1]
+        return summed_by_batch(table, lambda batch: f(*rows_of(batch)))[1]
 
     model, down = fit(total, width)
     if model.weights.any():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terrane.llm.katz import pack, unpack
 
 _PIECES = 64
-_SUMS = "piece int, n long, sums binary"
+SUMS = "piece int, n long, sums binary"
 
 
 def _added(key: tuple, table: pa.Table) -> pa.Table:
@@ -26,24 +26,44 @@ def in_pieces(a: np.ndarray, n: int) -> pa.RecordBatch:
     return pa.record_batch({"piece": pa.array(range(_PIECES), pa.int32()), "n": pa.array([n] * _PIECES, pa.int64()), "sums": pa.array([pack(x) for x in parts], pa.binary())})
 
 
-def summed(rows: DataFrame, kernel: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> tuple[int, np.ndarray]:
-    """The number of ``rows``, and the sum of the arrays that ``kernel()`` (made once a task) gives for their batches, flat; empty without rows."""
+def summed(rows: DataFrame, kernel: Callable[[Iterator[dict]], np.ndarray]) -> tuple[int, np.ndarray]:
+    """The number of ``rows``, and the sum of the arrays that ``kernel`` makes of the rows of a task, flat; empty without rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, total, n = kernel(), None, 0
+        n = 0
+
+        def each() -> Iterator[dict]:
+            nonlocal n
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    n += 1
+                    yield {k: c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+        total = kernel(each())
+        if n:
+            yield in_pieces(total, n)
+
+    return total_of(rows.mapInArrow(run, SUMS))
+
+
+def summed_by_batch(rows: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[int, np.ndarray]:
+    """The same of what ``kernel`` makes of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
         for batch in batches:
             if batch.num_rows:
-                here = f(batch)
+                here = kernel(batch)
                 total = here if total is None else total + here
                 n += batch.num_rows
         if n:
             yield in_pieces(total, n)
 
-    return total_of(rows.mapInArrow(run, _SUMS))
+    return total_of(rows.mapInArrow(run, SUMS))
 
 
 def total_of(sums: DataFrame) -> tuple[int, np.ndarray]:
-    rows = sorted(sums.groupBy("piece").applyInArrow(_added, _SUMS).collect(), key=lambda r: r["piece"])
+    rows = sorted(sums.groupBy("piece").applyInArrow(_added, SUMS).collect(), key=lambda r: r["piece"])
     return (rows[0]["n"], np.concatenate([unpack(r["sums"]) for r in rows])) if rows else (0, np.zeros(0))
 
 

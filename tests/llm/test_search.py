@@ -2,12 +2,14 @@
 
 import collections
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terrane.llm import bm25, decontam
+from terrane.llm.store import Scratch
 from terrane.llm.text import word_hashes
 
 TESTDATA = "/root/testdata"
@@ -152,6 +154,35 @@ def test_space_is_that_of_a_plain_svd(spark, some_docs, tmp_path):
     assert np.linalg.norm(dense @ wide.basis) < np.linalg.norm(dense @ space.basis)
 
 
+def test_space_is_fitted_on_all_passages(spark):
+    rng = random.Random(8)
+    rows = [(i, np.array([rng.randint(1, 300) for _ in range(rng.randint(8, 50))], np.uint64)) for i in range(30)]
+    items = decontam.Items(rows, IDF)
+    texts = [np.array([rng.randint(1, 400) for _ in range(n)], np.uint64) for n in (0, 1, 5, 31, 32, 33, 63, 64, 100, 700)]
+    cut = [h[32 * k : 32 * k + 32 if k < max(1, len(h) // 32) - 1 else None] for h in texts for k in range(max(1, len(h) // 32))]
+    dense = []
+    for start, at, values in (decontam.weighed(items, *decontam.lot_of(items, texts)), decontam.rows_of(items, cut)):
+        d = np.zeros((len(start) - 1, items.features))
+        np.add.at(d, (np.repeat(np.arange(len(start) - 1), np.diff(start)), at), values)
+        dense.append(d)
+        x = np.random.default_rng(2).standard_normal((items.features, 5))
+        assert np.allclose(decontam.there_and_back(start, at, values, x), d.T @ (d @ x), atol=1e-5)
+    assert np.allclose(decontam.products([decontam.weighed(items, *decontam.lot_of(items, [t])) for t in texts], x), d.T @ (d @ x), atol=1e-4)
+    assert dense[0].shape == dense[1].shape and np.allclose(*dense, atol=1e-6)
+    # All passages of many long documents count: the space is that of a plain SVD of the items' and all of theirs.
+    words = [f"w{i}" for i in range(300)]
+    bench = [(i, word_hashes(" ".join(rng.choice(words) for _ in range(rng.randint(8, 50))))) for i in range(30)]
+    items = decontam.Items(bench, IDF)
+    documents = [" ".join(rng.choice(words[k * 7 : k * 7 + 90] if at % 64 < 32 else words[-90 + k :]) for at in range(3000)) for k in range(30)]
+    docs = spark.createDataFrame([(t,) for t in documents], "text string")
+    space = decontam.fit(items, docs, 30, Scratch(spark, "space"), rank=12)
+    start, at, values = decontam.weighed(items, *decontam.lot_of(items, [word_hashes(t) for t in documents] + [items.words[i][a:b] for i, a, b in items.passages]))
+    d = np.zeros((len(start) - 1, items.features))
+    np.add.at(d, (np.repeat(np.arange(len(start) - 1), np.diff(start)), at), values)
+    best = np.linalg.svd(d, full_matrices=False)[1][:12]
+    assert np.linalg.norm(d @ space.basis) ** 2 >= 0.98 * (best**2).sum()
+
+
 def test_latent_candidates_are_those_of_brute_force(spark, some_docs):
     bench = spark.read.parquet(f"{TESTDATA}/sf0.001/benchmark.parquet")
     items, dense, basis = fitted([(r.item_id, word_hashes(r.text)) for r in bench.collect()], [], 20)
