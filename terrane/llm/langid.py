@@ -1,13 +1,15 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the number of distinct character n-grams (lengths 1 to 3 blended, lower-cased) that both hold, over the
-geometric mean of their numbers. Landmark texts give a Nyström map; one-versus-rest kernel ridge regression is solved on the mapped
-sample. As kernel and regression are linear in the presence vectors, landmarks and weights fold into one matrix of n-grams by languages,
+geometric mean of their numbers. Landmark texts give a Nyström map; one-versus-rest kernel ridge regression is solved on all mapped
+texts that have a language, by the sums of its normal equations, which tasks add up. As kernel and regression are linear in the presence vectors, landmarks and weights fold into one matrix of n-grams by languages,
 and a batch of texts is scored by one matrix product.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.sample import of_each
+from terrane.llm.sums import summed_by_task
 from terrane.llm.text import batch_of, map_batches
 
 #: n-grams are hashed to this many cells; presence in a cell is a feature.
 CELLS = 1 << 18
 ORDERS = (1, 2, 3)
-#: Bounds of the training sample: rows in all, rows of one language, and landmarks in all.
-SAMPLE, SAMPLE_EACH, LANDMARKS = 4000, 400, 512
+#: Bounds of the number of languages and of that of landmarks, which is at least one of each language.
+LANGUAGES, LANDMARKS = 4000, 512
 RIDGE = 1e-2
 UNKNOWN = "und"
 _CHUNK = 1 << 20
@@ -62,54 +65,100 @@ class Model:
         return x @ self.weights
 
 
+class Landmarks:
+    """Texts (cells) that the others are compared with."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]))
+        self.slot = np.full(CELLS, -1)
+        self.slot[self.vocabulary] = np.arange(len(self.vocabulary))
+        self.matrix = self.presence(sets)
+        self.n = np.array([max(1, len(x)) for x in sets])
+
+    def presence(self, sets: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(sets), len(self.vocabulary)), np.float32)
+        for i, cells in enumerate(sets):
+            at = self.slot[cells]
+            x[i, at[at >= 0]] = 1
+        return x
+
+    def sums(self, sets: list[np.ndarray], codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Kernels k of texts with the landmarks as they enter the equations: the sum of weighted k'k, then of k by language."""
+        n = np.array([max(1, len(x)) for x in sets], np.float64)
+        k = (self.presence(sets) @ self.matrix.T).astype(np.float64) / np.sqrt(n[:, None] * self.n)
+        of = np.zeros((len(weights), len(sets)))
+        of[codes, np.arange(len(sets))] = 1
+        return np.concatenate([k.T @ (weights[codes][:, None] * k), of @ k])
+
+    def solved(self, names: list[str], weights: np.ndarray, n: int, sums: np.ndarray) -> Model:
+        """One-versus-rest kernel ridge regression on the Nyström map, from the sums over n texts."""
+        square, by = sums[: len(self.n)], sums[len(self.n) :] * weights[:, None]
+        values, vectors = np.linalg.eigh((self.matrix @ self.matrix.T).astype(np.float64) / np.sqrt(self.n[:, None] * self.n))
+        keep = values > 1e-6 * values[-1]
+        root = vectors[:, keep] / np.sqrt(values[keep])  # the pseudo-inverse's square root
+        target = 2 * by - by.sum(axis=0)
+        beta = np.linalg.solve(root.T @ square @ root + RIDGE * n / 100 * np.eye(root.shape[1]), root.T @ target.T)
+        return Model(names, self.slot, (self.matrix.T @ (root @ beta / np.sqrt(self.n)[:, None])).astype(np.float32))
+
+
+def _nothing() -> Model:
+    return Model([], np.full(CELLS, -1), np.zeros((0, 0), np.float32))
+
+
+def _weights(counts: list[int]) -> np.ndarray:
+    return sum(counts) / (len(counts) * np.array(counts, np.float64))  # languages count alike
+
+
 def fit(sets: list[np.ndarray], languages: list[str]) -> Model:
-    """Nyström landmarks, then one-versus-rest kernel ridge regression."""
-    names = sorted(set(languages))
+    """A model from texts at hand, the first ones of each language being landmarks."""
+    names, counts = sorted(set(languages)), Counter(languages)
     if not names:
-        return Model([], np.full(CELLS, -1), np.zeros((0, 0), np.float32))
+        return _nothing()
     each = max(1, LANDMARKS // len(names))
-    marks = [i for name in names for i in [i for i, x in enumerate(languages) if x == name][:each]]
-    vocabulary = np.unique(np.concatenate([sets[i] for i in marks]))
-    slot = np.full(CELLS, -1)
-    slot[vocabulary] = np.arange(len(vocabulary))
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(vocabulary)), np.float32)
-        for i, cells in enumerate(rows):
-            at = slot[cells]
-            x[i, at[at >= 0]] = 1 / np.sqrt(max(1, len(cells)))
-        return x
-
-    landmark = matrix([sets[i] for i in marks])
-    values, vectors = np.linalg.eigh((landmark @ landmark.T).astype(np.float64))
-    keep = values > 1e-6 * values[-1]
-    root = vectors[:, keep] / np.sqrt(values[keep])  # the pseudo-inverse's square root
-    mapped = np.concatenate([matrix(sets[i : i + 256]) @ landmark.T for i in range(0, len(sets), 256)]).astype(np.float64) @ root
-    target = np.array([[1.0 if x == name else -1.0 for name in names] for x in languages])
-    count = np.array([languages.count(x) for x in languages])
-    w = (len(languages) / (len(names) * count))[:, None]  # languages count alike
-    beta = np.linalg.solve(mapped.T @ (w * mapped) + RIDGE * len(languages) / 100 * np.eye(mapped.shape[1]), mapped.T @ (w * target))
-    return Model(names, slot, (landmark.T @ (root @ beta)).astype(np.float32))
+    marks = Landmarks([sets[i] for name in names for i in [i for i, x in enumerate(languages) if x == name][:each]])
+    weights = _weights([counts[x] for x in names])
+    return marks.solved(names, weights, len(sets), marks.sums(sets, np.array([names.index(x) for x in languages]), weights))
 
 
 def train(docs: DataFrame) -> Model:
-    """A model from the doc_id, text and lang of ``docs``; rows without lang or id are left out.
+    """A model from the doc_id, text and lang of ``docs``, learned from every row that has both an id and a language and holds a letter.
 
-    It is fitted on SAMPLE ids at most, as many of each language, SAMPLE_EACH at most; of more than SAMPLE languages on the commonest.
-    Of rows that repeat an id and a language one counts. The sample's n-grams meet on the driver.
+    Of more than LANGUAGES languages the commonest are learned. Rows that repeat an id count each. Landmarks are chosen by hash of id, as
+    many of each language, and meet on the driver; of the others it gets sums.
     """
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()
-    picked = of_each(known, "lang", [tuple(r) for r in sizes], max(1, min(SAMPLE_EACH, SAMPLE // max(1, len(sizes)))))
-    rows = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")  # at most SAMPLE ids
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.col("text").rlike("\\p{L}")).select("doc_id", "text", "lang")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return _nothing()
+    picked = of_each(known, "lang", [(r["lang"], r["ids"]) for r in sizes], max(1, LANDMARKS // len(sizes)))
+    rows = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
     schema = pa.schema([("doc_id", pa.string()), ("lang", pa.string()), ("cells", pa.binary())])
 
     def kernel():
         return lambda b: batch_of(schema, [b.column(0), b.column(1), [present(x.as_py()).astype(np.int32).tobytes() for x in b.column(2)]])
 
     cells = map_batches(rows, kernel, "doc_id string, lang string, cells binary").where(F.length("cells") > 0)
-    found = sorted(tuple(r) for r in cells.groupBy("lang", "doc_id").agg(F.min("cells")).collect())
-    return fit([np.frombuffer(c, np.int32) for _, _, c in found], [lang for lang, _, _ in found])
+    marks = [np.frombuffer(r[2], np.int32) for r in sorted(tuple(r) for r in cells.groupBy("lang", "doc_id").agg(F.min("cells")).collect())]
+    counts = {r["lang"]: r["n"] for r in sizes}
+    names = sorted(counts)
+    weights, code = _weights([counts[x] for x in names]), {x: i for i, x in enumerate(names)}
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        landmarks, total, sets, codes = Landmarks(shared.value), 0, [], []
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+                if (at := code.get(lang.as_py())) is not None:
+                    sets.append(present(text.as_py()))
+                    codes.append(at)
+                if len(sets) == 256:
+                    total = total + landmarks.sums(sets, np.array(codes), weights)
+                    sets, codes = [], []
+        return total + landmarks.sums(sets, np.array(codes, np.int64), weights)
+
+    landmarks = Landmarks(marks)
+    _, found = summed_by_task(known.select("text", "lang"), sums)
+    return landmarks.solved(names, weights, sum(counts.values()), found.reshape(len(marks) + len(names), len(marks)))
 
 
 def confidence(scores: np.ndarray) -> np.ndarray:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,40 +28,35 @@ def in_pieces(a: np.ndarray, n: int) -> pa.RecordBatch:
     return pa.record_batch({"piece": pa.array(range(_PIECES), pa.int32()), "n": pa.array([n] * _PIECES, pa.int64()), "sums": pa.array([pack(x) for x in parts], pa.binary())})
 
 
-def summed(rows: DataFrame, kernel: Callable[[Iterator[dict]], np.ndarray]) -> tuple[int, np.ndarray]:
-    """The number of ``rows``, and the sum of the arrays that ``kernel`` makes of the rows of a task, flat; empty without rows."""
+def summed_by_task(rows: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> tuple[int, np.ndarray]:
+    """The number of ``rows``, and the sum of the arrays that ``kernel`` makes of the batches of a task, flat; empty without rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
 
-        def each() -> Iterator[dict]:
+        def each() -> Iterator[pa.RecordBatch]:
             nonlocal n
             for batch in batches:
-                for i in range(batch.num_rows):
-                    n += 1
-                    yield {k: c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
+                n += batch.num_rows
+                if batch.num_rows:
+                    yield batch
 
-        total = kernel(each())
-        if n:
+        first = next(here := each(), None)
+        if first is not None:
+            total = kernel(chain([first], here))
             yield in_pieces(total, n)
 
     return total_of(rows.mapInArrow(run, SUMS))
 
 
-def summed_by_batch(rows: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[int, np.ndarray]:
-    """The same of what ``kernel`` makes of each batch."""
+def summed(rows: DataFrame, kernel: Callable[[Iterator[dict]], np.ndarray]) -> tuple[int, np.ndarray]:
+    """The same of what ``kernel`` makes of rows one by one."""
+    return summed_by_task(rows, lambda batches: kernel({k: c[i].as_py() for k, c in zip(b.schema.names, b.columns, strict=True)} for b in batches for i in range(b.num_rows)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for batch in batches:
-            if batch.num_rows:
-                here = kernel(batch)
-                total = here if total is None else total + here
-                n += batch.num_rows
-        if n:
-            yield in_pieces(total, n)
 
-    return total_of(rows.mapInArrow(run, SUMS))
+def summed_by_batch(rows: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[int, np.ndarray]:
+    """The same of what ``kernel`` makes of each batch."""
+    return summed_by_task(rows, lambda batches: reduce(np.add, map(kernel, batches)))
 
 
 def total_of(sums: DataFrame) -> tuple[int, np.ndarray]:

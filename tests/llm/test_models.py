@@ -112,6 +112,17 @@ def test_languages_by_explicit_kernels():
     assert np.allclose(got, np.array([[kernel(s, t) for _, t in texts] for s in new]) @ dual, atol=2e-3)
 
 
+def test_languages_are_learned_from_all_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    words = {"a": ["lo", "ran", "mi", "sol"], "b": ["ker", "un", "sti", "ran"]}
+    texts = [(x, " ".join(rng.choice(words[x]) for _ in range(rng.randint(2, 6)))) for x in "aaab" for _ in range(450)]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)] + [(9, None, "a"), (10, "123", "b"), (11, "lo", None)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANDMARKS", 4000)  # all texts are landmarks, as in the plain fit
+    got, expected = langid.train(docs), langid.fit([langid.present(t) for _, t in texts], [x for x, _ in texts])
+    new = [langid.present(" ".join(rng.choice(sum(words.values(), [])) for _ in range(6))) for _ in range(20)]
+    assert got.languages == expected.languages and np.allclose(got.scores(new), expected.scores(new), atol=2e-3)
+
+
 def test_samples_are_bounded(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "de").when(F.col("id") < 30, "fr").otherwise("en").alias("lang"))
     more = docs.union(docs.where("doc_id = 9").crossJoin(spark.range(500)).select("doc_id", "lang")).union(spark.createDataFrame([(None, "en"), (5000, None)], "doc_id long, lang string"))
