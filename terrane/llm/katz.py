@@ -56,6 +56,23 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=d.dtype)
 
 
+def pack_values(a: np.ndarray) -> bytes:
+    """Numbers of which many are alike: by the distinct ones and their places among them, commonest first, where that is shorter."""
+    values, code = np.unique(a, return_inverse=True)
+    order = np.argsort(-np.bincount(code, minlength=len(values)), kind="stable")
+    rank = np.empty(len(values), np.uint32)
+    rank[order] = np.arange(len(values))
+    head = pack(values[order])
+    return min(pack(a), b"#" + len(head).to_bytes(4, "little") + head + pack(rank[code]), key=len)
+
+
+def unpack_values(b: bytes) -> np.ndarray:
+    if b[:1] != b"#":
+        return unpack(b)
+    end = 5 + int.from_bytes(b[1:5], "little")
+    return unpack(b[5:end])[unpack(b[end:])]
+
+
 @dataclass
 class Chunk:
     """Whole texts: vocab holds their distinct word hashes, sorted; tokens their places in it, each text closed by the end."""
@@ -263,7 +280,7 @@ def _scored(constants: Constants, bits: int):
         place = np.full(c.begin + 1, -1)
         asked = order[asks[order] > 0]
         place[asked] = np.arange(len(asked))
-        rows = [{"chunk": row["chunk"], "part": p, "hashes": pack_sorted(hashes[order[a:b]]), "seen": pack(held[order[a:b]]), "lower": pack(lower[order[a:b]]), "asks": pack(asks[order[a:b]])} for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+        rows = [{"chunk": row["chunk"], "part": p, "hashes": pack_sorted(hashes[order[a:b]]), "seen": pack_values(held[order[a:b]]), "lower": pack_values(lower[order[a:b]]), "asks": pack(asks[order[a:b]])} for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
         rows.append({"chunk": row["chunk"], "part": -1, "docs": pack(c.lengths), "base": pack(base), "score": pack(score), "known": pack(known), "open_doc": pack(open_doc.astype(np.uint32)), "open_context": pack(place[open_context].astype(np.uint32)), "context_count": pack(context_count[asked].astype(np.uint64))})
         return pa.Table.from_pylist(rows, schema=_SCORED)
 
@@ -279,12 +296,12 @@ def _summed(key: tuple, table: pa.Table) -> pa.Table:
     asked = [unpack_sorted(r["hashes"]) for r in rows]
     sizes = np.cumsum([0, *map(len, asked)])
     hashes, place = np.unique(np.concatenate(asked), return_inverse=True)
-    total = [np.bincount(place, weights=np.concatenate([unpack(r[k]) for r in rows]), minlength=len(hashes)) for k in ("seen", "lower")]
+    total = [np.bincount(place, weights=np.concatenate([unpack_values(r[k]) for r in rows]), minlength=len(hashes)) for k in ("seen", "lower")]
     out = []
     for r, a, b in zip(rows, sizes[:-1], sizes[1:], strict=True):
         at = place[a:b][unpack(r["asks"]) > 0]
         if len(at):
-            out.append((r["chunk"], key[0].as_py(), pack(total[0][at]), pack(total[1][at])))
+            out.append((r["chunk"], key[0].as_py(), pack_values(total[0][at]), pack_values(total[1][at])))
     return pa.Table.from_pylist([dict(zip(_ALPHA.names, x, strict=True)) for x in out], schema=_ALPHA)
 
 
@@ -298,7 +315,7 @@ def _finished(key: tuple, table: pa.Table, alphas: pa.Table) -> pa.Table:
     score = unpack(r["score"]).copy()
     if alphas.num_rows:
         parts = sorted((a["part"], a["seen"], a["lower"]) for a in alphas.to_pylist())
-        seen, lower = (np.concatenate([unpack(p[k]) for p in parts]) for k in (1, 2))
+        seen, lower = (np.concatenate([unpack_values(p[k]) for p in parts]) for k in (1, 2))
         alpha = np.log10(1 - seen / (unpack(r["context_count"]) + 1.0)) - np.log10(1 - lower)
         open_doc = unpack(r["open_doc"])
         score += np.bincount(open_doc, weights=alpha[unpack(r["open_context"])], minlength=len(score))
@@ -326,6 +343,7 @@ def score(docs: DataFrame, train: Column, chunk_tokens: int = CHUNK_TOKENS, tabl
     told = replies.where("chunk >= 0").select("chunk", "kind", "part", "counts", "owned", F.lit(texts).cast("long").alias("texts"))
     scored = table.select("chunk", "ids", "train", "lengths", "vocab", "tokens").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scored(constants, bits), _SCORED_SQL)
     scored = scratch.save(scored, "scored")
+    scratch.drop(replies)
     alphas = scratch.save(scored.where("part >= 0").select("chunk", "part", "hashes", "seen", "lower", "asks").groupBy("part").applyInArrow(_summed, "chunk long, part int, seen binary, lower binary"), "contexts")
     ends = scored.where("part = -1").join(table.select("chunk", "ids", "nulls", "train"), "chunk")
     done = ends.groupBy("chunk").cogroup(alphas.groupBy("chunk")).applyInArrow(_finished, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

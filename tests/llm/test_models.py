@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import random
 import re
 
@@ -65,6 +66,16 @@ def test_katz(edge_docs, some_docs, more):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_katz_tables_are_small(spark, some_docs):
+    rng = np.random.default_rng(4)
+    for a in (rng.choice(rng.standard_normal(50), 4000), rng.standard_normal(4000), np.zeros(0), np.ones(1)):
+        assert (katz.unpack_values(katz.pack_values(a)) == a).all() and len(katz.pack_values(a)) <= len(katz.pack(a))
+    assert len(katz.pack_values(rng.choice(rng.standard_normal(50), 4000))) < 0.5 * len(katz.pack(rng.choice(rng.standard_normal(50), 4000)))
+    katz.score(some_docs, F.lit(True)).count()
+    left = {p.name.split("-")[1] for run in pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("katz-*") for p in run.iterdir()}
+    assert "counts" not in left and "scored" in left
+
+
 def test_katz_of_little(no_docs, edge_docs):
     assert katz.score(no_docs, F.lit(True)).count() == 0
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in katz.score(edge_docs, F.lit(False)).collect())
