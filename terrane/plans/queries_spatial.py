@@ -69,8 +69,7 @@ dist AS (SELECT c_custkey, s_suppkey, CASE WHEN sum(CASE WHEN (ay > y) <> (ey >
 
 def q15_pip_else_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block that holds a point, else the nearest within 10, else none; the smaller key of equals."""
-    distance = G.ring_distance(F.col("ring"), G.point("x", "y"))
-    found = spatial.nearest_within(_points(spark, sf_dir), _blocks(spark, sf_dir).drop("sx", "sy", "r"), 10.0, "c_custkey", ("x", "y"), "s_suppkey", ("bx0", "by0", "bx1", "by1"), distance, 50.0)
+    found = spatial.nearest_ring(_points(spark, sf_dir), _blocks(spark, sf_dir), 10.0, "c_custkey", ("x", "y"), "s_suppkey", "ring", ("bx0", "by0", "bx1", "by1"), 50.0)
     return found.select("c_custkey", "s_suppkey", (F.col("dist") == 0).alias("inside"), F.round("dist", 4).alias("dist"))
 
 
