@@ -138,10 +138,8 @@ def q20_line_clip_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
     rows = p.select("c_custkey", "x", "y", (F.col("x") + 50 + F.col("c_custkey") % 11).alias("ex"), (F.col("y") + 5 + F.col("c_custkey") % 23).alias("ey"))
     blocks = _blocks(spark, sf_dir).select("s_suppkey", "bx0", "by0", "bx1", "by1")
-    met = spatial.box_join(rows, blocks, 50.0, ("x", "y", "ex", "ey"), ("bx0", "by0", "bx1", "by1"))
-    a, b = G.point("x", "y"), G.point("ex", "ey")
-    inside = G.clip_share(a, b, F.col("bx0"), F.col("by0"), F.col("bx1"), F.col("by1")) * G.hypot(a, b)
-    return met.select("s_suppkey", inside.alias("inside")).where("inside > 0").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("inside"), 3).alias("length_m"))
+    found = spatial.clipped_length(rows, blocks, 50.0, ("x", "y", "ex", "ey"), "s_suppkey", ("bx0", "by0", "bx1", "by1"))
+    return found.select("s_suppkey", F.col("n").alias("n_rows"), F.round("length", 3).alias("length_m"))
 
 
 ORACLE["q20_line_clip_length"] = f"""WITH {_PTS}, {_BOXES}, l AS (SELECT c_custkey, x, y, CAST(50 + c_custkey % 11 AS DOUBLE) AS dx, CAST(5 + c_custkey % 23 AS DOUBLE) AS dy FROM pt),

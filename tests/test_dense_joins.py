@@ -1,9 +1,10 @@
-"""Joins of points with rings where many lie over each other, against plain loops."""
+"""Joins of points with rings and of segments with boxes where many lie over each other, against plain loops."""
 
 import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrane import plans
 from terrane.operators import spatial
@@ -23,7 +24,19 @@ def from_ring(x, y, ring):
     return 0 if inside else least
 
 
-@pytest.mark.parametrize("name", ["q15_pip_else_nearest"])
+def inside_box(ax, ay, ex, ey, x0, y0, x1, y1):
+    begin, end = 0, 1
+    for a, e, low, high in ((ax, ex, x0, x1), (ay, ey, y0, y1)):
+        if a == e:
+            if not low <= a <= high:
+                return 0
+            continue
+        s, t = sorted(((low - a) / (e - a), (high - a) / (e - a)))
+        begin, end = max(begin, s), min(end, t)
+    return max(end - begin, 0) * math.hypot(ex - ax, ey - ay)
+
+
+@pytest.mark.parametrize("name", ["q15_pip_else_nearest", "q20_line_clip_length"])
 def test_pairs_are_no_rows(spark, name):
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "CoGroup" in plan
@@ -48,8 +61,24 @@ def test_nearest_of_many_rings(spark):
     assert any(d > 0 for _, d in got.values()) and any(d == 0 for _, d in got.values())
 
 
+def test_lengths_in_many_boxes(spark):
+    dice = random.Random(6)
+    at = lambda: float(dice.randint(-80, 80))
+    lines = [(at(), at(), at(), at()) for _ in range(200)]
+    lines += [(x, y, x, e) for x, y, _, e in lines[:40]] + [(x, y, e, y) for x, y, e, _ in lines[:40]] + [(5.0, 5.0, 5.0, 5.0), (None, 1.0, 2.0, 3.0)]
+    boxes = [(k, x, y, x + dice.randint(0, 70), y + dice.randint(0, 70)) for k, x, y in ((k, at(), at()) for k in range(60))] + [(99, None, 0.0, 1.0, 1.0), (100, 900.0, 900.0, 910.0, 910.0)]
+    found = spatial.clipped_length(spark.createDataFrame(lines, "x double, y double, ex double, ey double"), spark.createDataFrame(boxes, "k long, x0 double, y0 double, x1 double, y1 double"), 20.0, ("x", "y", "ex", "ey"), "k", ("x0", "y0", "x1", "y1"))
+    got = {r.k: (r.n, r.length) for r in found.collect()}
+    for k, *box in boxes:
+        lengths = [] if box[0] is None else [d for d in (inside_box(*line, *box) for line in lines if line[0] is not None) if d > 0]
+        assert got.get(k, (0, 0)) == (len(lengths), pytest.approx(sum(lengths), abs=1e-6)), k
+    assert found.where("k >= 99").count() == 0 and got
+
+
 def test_nothing_to_meet(spark):
     points = spark.createDataFrame([(1, 2.0, 3.0)], "p long, x double, y double")
     rings = spark.createDataFrame([], f"k long, {RING}, x0 double, y0 double, x1 double, y1 double")
     box = ("x0", "y0", "x1", "y1")
     assert spatial.nearest_ring(points, rings, 3.0, "p", ("x", "y"), "k", "ring", box, 25.0).count() == 0
+    lines = points.select("x", "y", F.col("x").alias("ex"), (F.col("y") + 1).alias("ey"))
+    assert spatial.clipped_length(lines, rings.drop("ring"), 20.0, ("x", "y", "ex", "ey"), "k", box).count() == 0
